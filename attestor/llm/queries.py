@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, packing, quality, secrets, simhash, token_counts, url_filter, wavelet
+from . import decontaminate, lm_score, packing, quality, secrets, simhash, suffix_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_lm_score": lm_score.op3_lm_score,
     "op4_quality": quality.op4_quality,
