@@ -1,8 +1,8 @@
 """Content anchors: a sound filter in front of exact repeat search.
 
-A byte string of `window` bytes holds window - GRAM + 1 grams; the one of least hash (the last such, of
-equals) is its anchor. Equal strings have their anchor at the same place within them. So a string that occurs
-twice has an anchor that occurs twice, and only windows under repeated anchors need be compared.
+A byte string of `window` bytes holds window - GRAM + 1 grams; the one of least (hash, place) is its anchor.
+Equal strings have their anchor at the same place within them. So a string that occurs twice has an
+anchor that occurs twice, and only windows under repeated anchors need be compared.
 """
 
 from __future__ import annotations
@@ -10,77 +10,75 @@ from __future__ import annotations
 import numpy as np
 
 GRAM = 32
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Places take the low bits of a gram's key, so that much text is held at once at most.
+PLACE_BITS = 23
+_BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_ONE = np.uint64(1)
+_CACHED: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    made = np.empty(n, np.uint64)
-    if n:
+    if len(_CACHED.get(base, ())) < n:
+        made = np.full(max(n, 1 << 16), base, np.uint64)
         made[0] = 1
-        made[1:] = np.uint64(base)
-        np.multiply.accumulate(made, out=made)
-    return made
+        _CACHED[base] = np.multiply.accumulate(made)
+    return _CACHED[base][:n]
 
 
-_CACHED: dict[int, np.ndarray] = {}
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_CACHED.get(base, ())) < n:
-        _CACHED[base] = _powers(base, max(n, 1 << 16))
-    return _CACHED[base][:n]
+def sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of byte times power, from which the hash of any range follows."""
+    made = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=made[1:])
+    return made
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A mixed 64-bit polynomial hash of every `gram` bytes."""
-    n = len(data) - gram + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _ONE) * _power(_BASE, len(data)), out=sums[1:])
-    made = (sums[gram:] - sums[:-gram]) * _power(_INVERSE, n)
-    made ^= made >> np.uint64(31)
-    made *= np.uint64(0xBF58476D1CE4E5B9)
-    made ^= made >> np.uint64(29)
-    return made
+def range_hashes(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes lo to hi, alike wherever they stand."""
+    return _mixed((prefix[hi] - prefix[lo]) * _powers(_INVERSE, len(prefix))[lo])
+
 
+def anchors(data: np.ndarray, ends: np.ndarray, window: int, gram: int = GRAM, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows that lie within one of the texts laid end to end in `data` (at most 2^23 bytes).
 
-def anchors(data: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors, their gram hashes, and the first and last window start that each one serves."""
-    grams = gram_hashes(data, gram)
-    span = window - gram + 1
-    n = len(grams) - span + 1
+    Places of the anchors, hashes of their grams, and the first and last window start that each serves.
+    """
+    none = np.zeros(0, np.int64)
+    n_grams, span = len(data) - gram + 1, window - gram + 1
+    n = n_grams - span + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 1 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    # least hash of each run of `span` grams: suffix minima of one block meet prefix minima of the next
-    blocks = -(-len(grams) // span)
-    padded = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(grams)] = grams
-    folded = padded.reshape(blocks, span)
+        return none, none.astype(np.uint64), none, none
+    if len(data) > 1 << PLACE_BITS:
+        raise ValueError("too much text at once")
+    prefix = sums(data) if prefix is None else prefix
+    hashes = _mixed((prefix[gram:] - prefix[:-gram]) * _powers(_INVERSE, n_grams))
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    blocks = -(-n_grams // span)
+    keys = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
+    keys[:n_grams] = (hashes & ~low) | np.arange(n_grams, dtype=np.uint64)
+    # least key of each run of `span` grams: suffix minima of one block meet prefix minima of the next
+    folded = keys.reshape(blocks, span)
     before = np.minimum.accumulate(folded, axis=1).ravel()
     after = np.minimum.accumulate(folded[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(after[:n], before[span - 1 : span - 1 + n])
-    # runs of windows with one least hash share their anchor, unless that gram repeats within the run
-    cuts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    lasts = np.concatenate((cuts[1:], [n])) - 1
-    where = np.flatnonzero(np.isin(grams, least[cuts])) if len(cuts) else cuts
-    out_at, out_lo, out_hi = [], [], []
-    values = grams[where]
-    for lo, hi, value in zip(cuts.tolist(), lasts.tolist(), least[cuts], strict=True):
-        a, b = np.searchsorted(where, lo), np.searchsorted(where, hi + span)
-        held = where[a:b][values[a:b] == value]
-        if len(held) == 1:
-            out_at.append(int(held[0]))
-            out_lo.append(lo)
-            out_hi.append(hi)
-            continue
-        # the last equal gram inside each window serves it
-        serving = held[np.searchsorted(held, np.arange(lo, hi + 1) + span, side="left") - 1]
-        edge = np.flatnonzero(np.concatenate(([True], serving[1:] != serving[:-1])))
-        out_at += serving[edge].tolist()
-        out_lo += (lo + edge).tolist()
-        out_hi += (lo + np.concatenate((edge[1:], [hi - lo + 1])) - 1).tolist()
-    at = np.array(out_at, np.int64)
-    return at, grams[at], np.array(out_lo, np.int64), np.array(out_hi, np.int64)
+    # windows across two texts are left out: the last window - 1 starts of each text
+    whole = np.ones(n + window, bool)
+    starts = np.concatenate(([0], ends[:-1]))
+    edges = np.zeros(n + window + 1, np.int32)
+    np.add.at(edges, np.minimum(np.maximum(starts, ends - window + 1), n + window), 1)
+    np.add.at(edges, np.minimum(ends, n + window), -1)
+    whole = np.cumsum(edges)[:n] == 0
+    text = np.zeros(n + 1, np.int64)
+    np.add.at(text, np.minimum(starts, n), 1)
+    text = np.cumsum(text)[:n]
+    new = np.ones(n, bool)
+    new[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1]) | (text[1:] != text[:-1])
+    lo = np.flatnonzero(new)
+    hi = np.concatenate((lo[1:], [n])) - 1
+    lo, hi = lo[whole[lo]], hi[whole[lo]]
+    at = (least[lo] & low).astype(np.int64)
+    return at, hashes[at], lo, hi

@@ -2,11 +2,12 @@
 
 Content anchors (see `anchors`) leave the windows that may occur twice. Stretches of text under one
 repeated anchor that are equal as a whole are repeated without further search. What is left, stretches of
-a common anchor that differ somewhere, is dealt to buckets by anchor. A bucket sorts the suffixes of
-shards of bounded size, keeps their transforms, and merges these by interleave refinement: the order of all
-suffixes by their first k bytes gives, through the transforms alone, the order by k + 1 bytes, while the
-boundaries found on the way are the common-prefix intervals. After `window` rounds every interval of two
-or more suffixes is a repeated string; nothing is sorted again.
+a common anchor that differ somewhere, is dealt to buckets by anchor, and read as symbols of eight bytes laid
+out from the anchor. A bucket sorts the suffixes of shards of bounded size, keeps their transforms, and
+merges these by interleave refinement: the order of all suffixes by their first k symbols gives, through the
+transforms alone, the order by k + 1, while the boundaries found on the way are the common-prefix
+intervals; nothing is sorted again. A window holds at least 49 whole symbols; where an interval of that
+depth has two suffixes or more, the eight remaining bytes of its windows decide, so the result is exact.
 """
 
 from __future__ import annotations
@@ -20,133 +21,206 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .anchors import anchors
+from .anchors import anchors, range_hashes, sums
 
 WINDOW = 400
-#: Bytes of text in one shard, and of stretches that make one bucket.
-SHARD_BYTES, BUCKET_BYTES = 1 << 19, 2_000_000
-ANCHORS = "doc_id long, tkey long, anchor long, whole long, lo int, hi int"
+#: Bytes of a symbol; symbols in one shard; bytes of stretches that make one bucket.
+SYMBOL, SHARD_SYMBOLS, BUCKET_BYTES = 8, 1 << 16, 6_000_000
+#: Bytes of text whose anchors are sought at once; longer texts are read in such parts.
+PART_BYTES = 1 << 20
+ANCHORS = "doc_id long, tkey long, anchor long, whole long, lo int, hi int, off int"
 
 
 def _rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        for batch in runtime.slices(batches, "text", 3_000_000):
-            out: list[list] = [[] for _ in range(6)]
-            for doc, tkey, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tkey", "text")), strict=True):
-                data = (text or "").encode()
-                if len(data) < window:
-                    continue
-                at, hashes, lo, hi = anchors(np.frombuffer(data, np.uint8), window)
-                view = memoryview(data)
-                out[0] += [doc] * len(at)
-                out[1] += [tkey] * len(at)
-                out[2].append(hashes.view(np.int64))
-                # equal digests: the same bytes around the anchor, which stands at the same place in them
-                out[3] += [xxh3_64_intdigest(view[a : b + window], p - a) - (1 << 63) for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                out[4].append(lo)
-                out[5].append(hi)
-            if out[0]:
-                flat = lambda k: np.concatenate(out[k])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(flat(2)), pa.array(out[3], pa.int64()), pa.array(flat(4).astype(np.int32)), pa.array(flat(5).astype(np.int32))], ["doc_id", "tkey", "anchor", "whole", "lo", "hi"])
+        for batch in runtime.slices(batches, "text", 1_500_000):
+            texts, row_of, base_of = [], [], []
+            for row, t in enumerate(batch.column("text").to_pylist()):
+                whole_text = (t or "").encode()
+                # a very long text is read in parts that share a window less one byte: each start once
+                for base in range(0, max(len(whole_text) - window + 1, 1), PART_BYTES):
+                    texts.append(whole_text[base : base + PART_BYTES + window - 1])
+                    row_of.append(row)
+                    base_of.append(base)
+            for some in _parts([len(t) for t in texts]):
+                made = _of_texts(texts[some], np.array(row_of[some]), np.array(base_of[some]), batch, window)
+                if made is not None:
+                    yield made
 
     return run
 
 
+def _parts(sizes: list[int]) -> Iterator[slice]:
+    """Runs of texts that are held at once."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > 2 * PART_BYTES:
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    yield slice(start, len(sizes))
+
+
+def _of_texts(texts: list[bytes], row_of: np.ndarray, base_of: np.ndarray, batch: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    prefix = sums(data)
+    at, hashes, lo, hi = anchors(data, ends, window, prefix=prefix)
+    if not len(at):
+        return None
+    # equal hashes: the same bytes, and the anchor at the same place in them
+    whole = range_hashes(prefix, lo, hi + window) * np.uint64(2 * 1023 + 1) + (at - lo).astype(np.uint64)
+    of = np.searchsorted(ends, lo, side="right")
+    moved = base_of[of] - np.concatenate(([0], ends[:-1]))[of]
+    rows = pa.array(row_of[of])
+    cols = [batch.column("doc_id").take(rows), batch.column("tkey").take(rows), pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((lo + moved).astype(np.int32)), pa.array((hi + moved).astype(np.int32)), pa.array((at - lo).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "tkey", "anchor", "whole", "lo", "hi", "off"])
+
+
 class Shard:
-    """Strings with their sorted suffixes' starts and the transform; the terminator is 0, bytes are raised by one."""
+    """Symbol strings (symbols from 1) with the starts of their sorted suffixes and the transform; 0 ends a string."""
 
-    def __init__(self, strings: list[bytes], depth: int) -> None:
+    def __init__(self, strings: list[np.ndarray], depth: int) -> None:
         sizes = np.array([len(s) + 1 for s in strings])
         self.ends = np.cumsum(sizes) - 1
-        text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.uint16) + 1
-        text[self.ends] = 0
-        n = len(text)
-        number = np.repeat(np.arange(len(strings)), sizes)
-        rank = text.astype(np.int64) + len(strings)
-        rank[self.ends] = np.arange(len(strings))  # terminators are ordered by string
+        self.starts = np.concatenate(([0], self.ends[:-1] + 1))
+        n, self.n_strings = int(sizes.sum()), len(strings)
+        text = np.zeros(n, np.int64)
+        inner = np.ones(n, bool)
+        inner[self.ends] = False
+        text[inner] = np.concatenate(strings)
+        # terminators are ordered by string
+        first = text + self.n_strings
+        first[self.ends] = np.arange(self.n_strings)
+        order = np.argsort(first, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate(([0], (np.diff(first[order]) != 0).cumsum()))
+        left = self.ends[np.repeat(np.arange(self.n_strings), sizes)] - np.arange(n)
         step = 1
-        order = np.argsort(rank, kind="stable")
-        while step < depth + 1:
+        while step < depth and rank.max() < n - 1:
             later = np.zeros(n, np.int64)
-            later[: n - step] = np.where(number[step:] == number[: n - step], rank[step:] + 1, 0) if step < n else 0
-            key = rank * (n + len(strings) + 300) + later
+            later[: n - step] = rank[step:] + 1
+            later[left < step] = 0
+            key = rank * (n + 1) + later
             order = np.argsort(key, kind="stable")
-            held = key[order]
-            new = np.concatenate(([0], (held[1:] != held[:-1]).cumsum()))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
+            rank[order] = np.concatenate(([0], (np.diff(key[order]) != 0).cumsum()))
             step *= 2
-            if new[-1] == n - 1:
-                break
-        self.suffixes, self.n_strings = order, len(strings)
-        before = order - 1
-        starts = np.concatenate(([0], self.ends[:-1] + 1))
-        self.transform = np.where(np.isin(order, starts), 0, text[before]).astype(np.uint16)
+        self.suffixes = order
+        previous = text[order - 1]
+        previous[np.isin(order, self.starts)] = 0
+        self.transform = previous
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which shard each place of the common order belongs to, and the number of its interval of equal `depth`-byte prefixes.
+    """Which shard each place of the common order belongs to, and the number of its interval of equal `depth`-symbol prefixes.
 
     Terminators of all shards come first, in order; they never share an interval.
     """
-    sizes = [len(s.transform) for s in shards]
-    owner = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    owner = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.transform) for s in shards])
+    transforms = np.concatenate([s.transform for s in shards])
+    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.n_strings for s in shards])
     block = np.zeros(len(owner), np.int64)
-    ends = np.concatenate([np.full(s.n_strings, j, np.uint16) for j, s in enumerate(shards)])
     for _ in range(depth):
-        symbols = np.empty(len(owner), np.uint16)
-        for j, s in enumerate(shards):
-            symbols[owner == j] = s.transform
-        order = np.argsort(symbols, kind="stable")  # a counting sort
-        sorted_symbols, sorted_blocks = symbols[order], block[order]
-        new = np.empty(len(owner), bool)
-        new[0] = True
-        np.not_equal(sorted_symbols[1:], sorted_symbols[:-1], out=new[1:])
-        new[1:] |= sorted_blocks[1:] != sorted_blocks[:-1]
+        symbols = np.empty(len(owner), np.int64)
+        symbols[np.argsort(owner, kind="stable")] = transforms
+        order = np.argsort(symbols, kind="stable")
+        symbols, block, owner = symbols[order], block[order], owner[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
         new[: len(ends) + 1] = True
-        owner = owner[order]
         owner[: len(ends)] = ends
-        made = np.cumsum(new) - 1
-        if made[-1] == block[-1] and np.array_equal(made, block) and made[-1] == len(owner) - 1:
+        block = np.cumsum(new) - 1
+        if block[-1] == len(owner) - 1:
             break  # every interval is one suffix
-        block = made
     return owner, block
 
 
-def repeated_starts(strings: list[bytes], window: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each string the starts whose `window` bytes occur elsewhere among the strings."""
-    parts, held, size = [], [], 0
-    for i, s in enumerate(strings):
-        if held and size + len(s) > shard_bytes:
-            parts.append(held)
-            held, size = [], 0
-        held.append(i)
-        size += len(s) + 1
-    if held:
-        parts.append(held)
-    shards = [Shard([strings[i] for i in p], window) for p in parts]
-    if not shards:
+def _repeated(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row of the key columns occurs twice or more."""
+    order = np.lexsort(keys)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    out = np.zeros(len(order), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def repeated_starts(strings: list[bytes], offsets: list[int], window: int, shard_symbols: int = SHARD_SYMBOLS) -> list[np.ndarray]:
+    """For each string the starts whose `window` bytes occur elsewhere among the strings. `offsets` place the anchors."""
+    if not strings:
         return []
-    owner, block = merge(shards, window)
+    phases = np.array(offsets) % SYMBOL
+    depth = (window - SYMBOL + 1) // SYMBOL
+    room = window - depth * SYMBOL  # bytes of a window besides its whole symbols: eight to fifteen
+    held, lefts, rights, counts = [], [], [], []
+    for s, phase in zip(strings, phases, strict=True):
+        n = (len(s) - int(phase)) // SYMBOL
+        padded = bytes(SYMBOL - int(phase)) + s + bytes(SYMBOL * (depth + 3))
+        words = np.frombuffer(padded, "<u8", len(padded) // SYMBOL)
+        held.append(words[1 : n + 1])
+        lefts.append(words[:n])
+        rights.append(words[depth + 1 : depth + 1 + n])
+        counts.append(n)
+    _, symbol = np.unique(np.concatenate(held), return_inverse=True)
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    coded = [symbol[a:b] + 1 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    shards, part, size = [], [], 0
+    for c in coded:
+        if part and size + len(c) > shard_symbols:
+            shards.append(Shard(part, depth))
+            part, size = [], 0
+        part.append(c)
+        size += len(c) + 1
+    shards.append(Shard(part, depth))
+    owner, block = merge(shards, depth)
     often = np.bincount(block)[block] > 1
-    found = [np.zeros(0, np.int64)] * len(strings)
-    for j, (part, shard) in enumerate(zip(parts, shards, strict=True)):
-        hits = np.sort(shard.suffixes[often[owner == j]])
-        starts = np.concatenate(([0], shard.ends[:-1] + 1))
-        of = np.searchsorted(starts, hits, side="right") - 1
-        cuts = np.searchsorted(of, np.arange(len(part) + 1))
-        for k, i in enumerate(part):
-            found[i] = hits[cuts[k] : cuts[k + 1]] - starts[k]
-    return found
+    # the interval of each symbol's suffix, in text order, terminators left out
+    interval = np.full(int(cuts[-1]), -1, np.int64)
+    at = 0
+    for j, shard in enumerate(shards):
+        mine = owner == j
+        n = len(shard.transform)
+        by_text = np.empty(n, np.int64)
+        by_text[shard.suffixes] = np.where(often[mine], block[mine], -1)
+        inner = np.ones(n, bool)
+        inner[shard.ends] = False
+        interval[at : at + n - shard.n_strings] = by_text[inner]
+        at += n - shard.n_strings
+    number = np.repeat(np.arange(len(strings)), counts)
+    places = np.arange(len(number)) - cuts[number]
+    starts = places * SYMBOL + phases[number]
+    last = np.array([len(s) - window for s in strings])[number]
+    cand = np.flatnonzero(interval >= 0)
+    left, right = np.concatenate(lefts)[cand], np.concatenate(rights)[cand]
+    found_at, found_of = [], []
+    for j in range(room):
+        s = starts[cand] - j
+        ok = (s >= 0) & (s <= last[cand])
+        if room == SYMBOL:  # the two fringes are eight bytes together
+            mask = (1 << 8 * (SYMBOL - j)) - 1
+            key = (left & np.uint64(((1 << 64) - 1) ^ mask)) | (right & np.uint64(mask))
+            hit = _repeated(interval[cand][ok], key[ok])
+        else:
+            texts = [strings[i] for i in number[cand][ok]]
+            fringe = [(t[a : a + j], t[a + j + depth * SYMBOL : a + window]) for t, a in zip(texts, s[ok].tolist(), strict=True)]
+            codes: dict = {}
+            key = np.array([codes.setdefault(f, len(codes)) for f in fringe], np.int64)
+            hit = _repeated(interval[cand][ok], key)
+        found_at.append(s[ok][hit])
+        found_of.append(number[cand][ok][hit])
+    at_all, of_all = np.concatenate(found_at), np.concatenate(found_of)
+    order = np.lexsort((at_all, of_all))
+    at_all, of_all = at_all[order], of_all[order]
+    edge = np.searchsorted(of_all, np.arange(len(strings) + 1))
+    return [np.unique(at_all[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _search(window: int):
     def run(group: pa.Table) -> pa.Table:
-        strings = group.column("stretch").to_pylist()
+        found = repeated_starts(group.column("stretch").to_pylist(), group.column("off").to_pylist(), window)
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for anchor, whole, starts in zip(group.column("anchor").to_pylist(), group.column("whole").to_pylist(), repeated_starts(strings, window), strict=True):
+        for anchor, whole, starts in zip(group.column("anchor").to_pylist(), group.column("whole").to_pylist(), found, strict=True):
             if len(starts):
                 edge = np.flatnonzero(np.concatenate(([True], np.diff(starts) > window)))
                 last = np.concatenate((edge[1:], [len(starts)])) - 1
@@ -183,7 +257,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tkey (hash of the text), spans: byte ranges covered by strings of `window` bytes that occur twice or more in docs(doc_id, tkey, text)."""
     spark = docs.sparkSession
     found = runtime.written(docs.mapInArrow(_rows(window), ANCHORS), "anchors")
-    stretch = F.struct("doc_id", "tkey", "lo", "hi")
+    stretch = F.struct("doc_id", "tkey", "lo", "hi", "off")
     # distinct stretches first, so that groups of copies are one row each
     kinds = found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(stretch).alias("one"))
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
@@ -191,11 +265,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     contested = kinds.where("kinds > 1").select("anchor", "whole", "one.*")
     size = contested.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo") + window), F.lit(0))).first()[0]
     buckets = 1 + int(size) // BUCKET_BYTES
-    wanted = contested.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "whole", "lo", "hi")).alias("want"))
+    wanted = contested.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "whole", "lo", "hi", "off")).alias("want"))
     wanted = wanted.withColumnsRenamed({"doc_id": "d", "tkey": "t"})
     once = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["d"]) & (docs["tkey"] == wanted["t"])).dropDuplicates(["d", "t"])
     rows = once.select(F.encode("text", "UTF-8").alias("data"), F.explode("want").alias("w")).select(
-        "w.anchor", "w.whole", F.expr(f"substring(data, w.lo + 1, w.hi - w.lo + {window})").alias("stretch"), F.pmod(F.xxhash64("w.anchor"), F.lit(buckets)).alias("bucket")
+        "w.anchor", "w.whole", "w.off", F.expr(f"substring(data, w.lo + 1, w.hi - w.lo + {window})").alias("stretch"), F.pmod(F.xxhash64("w.anchor"), F.lit(buckets)).alias("bucket")
     )
     parts = runtime.written(rows.groupBy("bucket").applyInArrow(_search(window), "anchor long, whole long, s int, e int"), "repeats")
     fully = found.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).selectExpr("doc_id", "tkey", "lo AS s", f"hi + {window} AS e")
