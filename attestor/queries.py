@@ -1,6 +1,287 @@
-"""Registered queries of the coding engine and their SQL."""
+"""Registered queries of the coding engine, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions import hashing, stats
+from .operators import coding, drift, gold, sampling, scoring, selective, splits, thresholds, units
+from .plans import check, demo
+from .queries_sql import SQL
+from .sources import corpus
+
+ALPHA = 0.20
+
+
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded alike on both sides."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _cal(gs: DataFrame) -> DataFrame:
+    return gs.where(F.col("split") == splits.CALIBRATION)
+
+
+def _test(gs: DataFrame) -> DataFrame:
+    return gs.where(F.col("split") == splits.TEST)
+
+
+def certify(spark, sf):
+    return _r(check.certify(demo.even(spark, sf), alpha=ALPHA)).select("code_id", "n_gold", "n_gold_positive", "t_lo", "t_hi", "coverage", "n_test", "n_test_positive", "kappa", "verdict", "reason")
+
+
+def split_assignment(spark, sf):
+    return demo.splits(spark, sf).select("item_id", "split_key", "rn", "split")
+
+
+def split_counts(spark, sf):
+    return splits.split_counts(demo.splits(spark, sf))
+
+
+def split_violations(spark, sf):
+    ids = demo.labels(spark, sf).select("item_id").distinct()
+    return splits.outside(ids, demo.splits(spark, sf), splits.CALIBRATION).select("item_id", "split")
+
+
+def item_hashes(spark, sf):
+    t = hashing.normalise_text(F.col("text"))
+    return demo.items(spark, sf).select("item_id", F.length(t).cast("long").alias("n_chars"), hashing.item_hash(t).alias("item_hash"), hashing.estimate_tokens(t).alias("n_tokens"))
+
+
+def corpus_digest(spark, sf):
+    return hashing.corpus_hash(demo.items(spark, sf).select(hashing.item_hash(F.col("text")).alias("item_hash")))
+
+
+def length_stats(spark, sf):
+    return _r(corpus.length_stats(demo.items(spark, sf)))
+
+
+def confusion(spark, sf):
+    gs = demo.weighted(spark, sf)
+    made = gs.groupBy("code_id").agg(F.count("*").alias("n"), *stats.cells(F.col("g"), F.when(F.col("p") >= 0.5, 1).otherwise(0), F.col("w")))
+    return _r(made.select("code_id", "n", "a", "b", "c", "d", stats.observed_agreement().alias("agreement"), stats.kappa().alias("kappa"), stats.kappa_reason().alias("kappa_reason"), stats.krippendorff().alias("alpha")))
+
+
+def effective_sizes(spark, sf):
+    gs = demo.weighted(spark, sf)
+    return _r(gs.groupBy("code_id", "g").agg(stats.weighted_mean(F.col("p"), F.col("w")).alias("mean_p"), stats.effective_size(F.col("w")).alias("n_eff")))
+
+
+def brier(spark, sf):
+    return _r(stats.brier(demo.weighted(spark, sf), "code_id"))
+
+
+def reliability(spark, sf):
+    return _r(stats.reliability(demo.weighted(spark, sf), "code_id"))
+
+
+def calibration_error(spark, sf):
+    return _r(stats.calibration_error(demo.weighted(spark, sf), "code_id"))
+
+
+def band_grid(spark, sf):
+    return _r(thresholds.grid(spark))
+
+
+def band_candidates(spark, sf):
+    return _r(thresholds.candidates(_cal(demo.weighted(spark, sf)), alpha=ALPHA)).select("code_id", "band_id", "coverage", "n_accepted", "pos_n", "neg_n", "pos_eff", "neg_eff", "pos_risk", "neg_risk", "pos_p", "neg_p", "delta_share", "valid")
+
+
+def band_fit(spark, sf):
+    return _r(thresholds.fit(_cal(demo.weighted(spark, sf)), alpha=ALPHA)).drop("delta_share")
+
+
+def evidence_shortfall(spark, sf):
+    return thresholds.shortfall(thresholds.candidates(_cal(demo.even(spark, sf)), alpha=0.02), alpha=0.02)
+
+
+def realised_risk(spark, sf):
+    bands = spark.createDataFrame([(c, 0.40, 0.60) for c in demo.CODE_IDS], "code_id string, t_lo double, t_hi double")
+    return _r(thresholds.realised_risk(_test(demo.weighted(spark, sf)), bands))
+
+
+def selective_curve(spark, sf):
+    return _r(selective.selective_curve(_test(demo.weighted(spark, sf))).drop("t_lo"))
+
+
+def labour_curve(spark, sf):
+    return _r(selective.labour_curve(_test(demo.weighted(spark, sf)), labour_offset=0.05).drop("t_lo"))
+
+
+def _fractions(spark):
+    return spark.createDataFrame([(c, k, k / 4) for c in demo.CODE_IDS for k in range(5)], "code_id string, point int, fraction double")
+
+
+def random_baseline(spark, sf):
+    return _r(selective.random_baseline(_test(demo.even(spark, sf)), _fractions(spark), n_resamples=20))
+
+
+def bootstrap_interval(spark, sf):
+    rows = _test(demo.even(spark, sf)).select("code_id", "item_id", F.col("g"), F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("d"), "w")
+    return _r(selective.bootstrap(rows, n_resamples=200))
+
+
+def most_informative(spark, sf):
+    test = _test(demo.even(spark, sf))
+    curve = selective.labour_curve(test).select("code_id", "point", "kappa")
+    return _r(selective.most_informative(curve, selective.random_baseline(test, _fractions(spark), n_resamples=20)))
+
+
+def gold_latest(spark, sf):
+    return gold.gold_latest(demo.gold_log(spark, sf)).select("item_id", "code_id", "coder", "label", "seq")
+
+
+def primary_coder(spark, sf):
+    return gold.primary_coder(demo.gold_log(spark, sf))
+
+
+def coded_pairs(spark, sf):
+    return gold.coded_pairs(demo.gold_log(spark, sf), "coder_2")
+
+
+def gold_labels(spark, sf):
+    return gold.labels_for(demo.gold_log(spark, sf), split="test", coder="coder_1").select("code_id", "item_id", "g", "w")
+
+
+def double_coded(spark, sf):
+    return gold.double_coded(demo.gold_log(spark, sf))
+
+
+def human_ceiling(spark, sf):
+    return _r(check.human_ceiling(demo.gold_log(spark, sf)))
+
+
+def human_labels(spark, sf):
+    log = demo.gold_log(spark, sf)
+    review = log.where("coder = 'coder_2' AND label = 0").select("item_id", "code_id", F.lit(1).alias("label"), "seq")
+    return gold.human_labels(log, review)
+
+
+def gold_summary(spark, sf):
+    log = demo.gold_log(spark, sf)
+    return log.crossJoin(F.broadcast(gold.primary_coder(log).withColumnRenamed("coder", "main"))).agg(F.count_distinct("item_id").alias("gold_n"), F.count_distinct(F.when(F.col("coder") != F.col("main"), F.col("item_id"))).alias("double_coded"))
+
+
+def plan_uniform(spark, sf):
+    return sampling.plan_uniform(splits.of_split(demo.splits(spark, sf), "calibration"), 60, split="calibration", seed=7)
+
+
+def enrichment_pool(spark, sf):
+    p = demo.scores(spark, sf).where("code_id = 'toxic'").select("item_id", F.col("probability").alias("p"))
+    return sampling.enrichment_pool(p)
+
+
+def plan_enriched(spark, sf):
+    return sampling.plan_enriched(enrichment_pool(spark, sf), plan_uniform(spark, sf), 40, split="calibration", seed=7, base_inclusion=0.1, code_id="toxic")
+
+
+def plan_overlap(spark, sf):
+    return sampling.plan_overlap(plan_uniform(spark, sf), 15, seed=7)
+
+
+def _bands(spark):
+    return spark.createDataFrame([("toxic", 0.40, 0.60, "ok"), ("high_quality", None, None, "NOT_AUTOMATABLE")], "code_id string, t_lo double, t_hi double, verdict string")
+
+
+def _decisions(spark, sf):
+    human = demo.labels(spark, sf).where("CAST(item_id AS BIGINT) % 7 = 0").select("item_id", "code_id", F.col("g").alias("label"))
+    p = demo.scores(spark, sf).where("CAST(item_id AS BIGINT) % 11 <> 0")  # the others stand for failed scores
+    return coding.apply_bands(demo.ids(spark, sf), demo.codes(spark), _bands(spark), p, human)
+
+
+def decisions(spark, sf):
+    return _decisions(spark, sf)
+
+
+def decision_sources(spark, sf):
+    return coding.counts_by_source(_decisions(spark, sf))
+
+
+def decision_coverage(spark, sf):
+    return _r(coding.coverage(_decisions(spark, sf)))
+
+
+def coded_table(spark, sf):
+    return coding.coded_table(demo.items(spark, sf).drop("text"), _decisions(spark, sf), list(demo.CODE_IDS))
+
+
+def abstentions(spark, sf):
+    return coding.abstentions(_decisions(spark, sf), demo.items(spark, sf))
+
+
+def review_queue(spark, sf):
+    done = demo.gold_log(spark, sf).where("coder = 'coder_2'").select("item_id", "code_id").distinct()
+    return coding.review_queue(_decisions(spark, sf), done, 25)
+
+
+def code_drift(spark, sf):
+    live = spark.createDataFrame([("aaa", "1"), ("bbb", "2"), ("ccc", "3")], "code_id string, code_hash string")
+    then = spark.createDataFrame([("bbb", "2"), ("ccc", "9"), ("ddd", "4")], "code_id string, code_hash string")
+    return drift.code_drift(live, then)
+
+
+def distinct_texts(spark, sf):
+    u = demo.items(spark, sf).select("item_id", F.lit(0).alias("unit_index"), "text", hashing.item_hash(F.col("text")).alias("text_hash"))
+    return units.distinct_texts(u).select("text_hash", F.length("text").cast("long").alias("n_chars"), "n_units")
+
+
+def passages(spark, sf):
+    """Rows only: paragraph chunking has no SQL form."""
+    return units.build_units(demo.items(spark, sf), max_tokens=256, overlap_tokens=20).select("item_id", "unit_index", F.length("text").alias("n_chars"), "text_hash")
+
+
+def pooled_scores(spark, sf):
+    turns = demo.table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("item_id"), F.lit("toxic").alias("code_id"), (F.when(F.length("text") % 5 != 0, F.length("text") % 100 / 100.0)).alias("probability"))
+    return _r(units.pool_scores(turns, "max").withColumnRenamed("probability", "largest").join(units.pool_scores(turns, "mean").withColumnRenamed("probability", "mean"), ["item_id", "code_id"]))
+
+
+def _looked(spark, sf):
+    u = demo.items(spark, sf).select("item_id", F.lit(0).alias("unit_index"), "text", hashing.item_hash(F.col("text")).alias("text_hash"))
+    c = spark.createDataFrame([("toxic", "c1"), ("high_quality", "c2")], "code_id string, code_hash string")
+    empty = spark.createDataFrame([], scoring.CACHE_SCHEMA)
+    keys = scoring.lookups(u, c, empty, "recorded", "v1").where("CAST(item_id AS BIGINT) % 3 = 0").select("key", F.lit(0.5).alias("probability"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(0).cast("long").alias("input_tokens")).dropDuplicates(["key"])
+    return scoring.lookups(u, c, keys, "recorded", "v1")
+
+
+def cache_hits(spark, sf):
+    return _r(scoring.cache_stats(_looked(spark, sf)))
+
+
+def cache_misses(spark, sf):
+    return _looked(spark, sf).where("cached is null").select("item_id", "code_id", "key")
+
+
+def run_cost(spark, sf):
+    u = demo.items(spark, sf).select("text")
+    return _r(drift.needs_confirmation(drift.estimate_cost(u, 2, 50, 0.15, 0.60)))
+
+
+def backend_comparison(spark, sf):
+    gs = demo.even(spark, sf)
+    one = check.certify(gs, alpha=ALPHA).withColumn("backend", F.lit("sharp"))
+    two = check.certify(gs.withColumn("p", F.lit(0.5)), alpha=ALPHA).withColumn("backend", F.lit("blunt"))
+    return _r(check.compare(one.unionByName(two)).select("backend", "usable", "share"))
+
+
+def review_share(spark, sf):
+    return _r(check.share_needing_review(check.certify(demo.even(spark, sf), alpha=ALPHA)))
+
+
+def replayed(spark, sf):
+    """Recorded answers by item hash, missing ones null."""
+    units_ = demo.items(spark, sf).select("item_id", hashing.item_hash(F.col("text")).alias("item_hash"))
+    rec = units_.where("CAST(item_id AS BIGINT) % 2 = 0").select("item_hash", F.lit("toxic").alias("code_id"), F.lit(0.25).alias("probability")).distinct()
+    return scoring.replay(units_, demo.codes(spark), rec, strict=False).select("item_id", "code_id", "probability")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        certify, split_assignment, split_counts, split_violations, item_hashes, corpus_digest, length_stats, confusion, effective_sizes, brier, reliability, calibration_error,
+        band_grid, band_candidates, band_fit, evidence_shortfall, realised_risk, selective_curve, labour_curve, random_baseline, bootstrap_interval, most_informative, gold_latest,
+        primary_coder, coded_pairs, gold_labels, double_coded, human_ceiling, human_labels, gold_summary, plan_uniform, enrichment_pool, plan_enriched, plan_overlap, decisions,
+        decision_sources, decision_coverage, coded_table, abstentions, review_queue, code_drift, distinct_texts, passages, pooled_scores, cache_hits, cache_misses, run_cost,
+        backend_comparison, review_share, replayed,
+    )
+}
