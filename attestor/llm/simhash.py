@@ -86,7 +86,8 @@ def links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     pair = F.shiftright("key", 24)
     # a link is reported under the first pair of segments that it fits
     first = ((pair == 0) & fits[0]) | ((pair == 1) & fits[1] & ~fits[0]) | ((pair == 2) & fits[2] & ~fits[0] & ~fits[1])
-    met = probes.join(index, "key").where((F.col("a") < F.col("b")) & (F.bit_count(far) <= distance) & first)
+    # the packed input looks small enough to broadcast, its exploded keys are not
+    met = probes.hint("merge").join(index.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(far) <= distance) & first)
     return met.select("a", "b")
 
 
