@@ -10,6 +10,7 @@ with the corpus.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections.abc import Iterator
@@ -23,13 +24,13 @@ from . import runtime, tokens
 
 FACTOR, LEAST = 0.4, 2
 #: Characters of text that fill one bucket.
-BUCKET_CHARS = 12_000_000
+BUCKET_CHARS = 8_000_000
 _BITS = 21
 _ID = (1 << _BITS) - 1
 BEGIN, END = _ID, _ID - 1
 _SUMS, _REST, _BIGRAMS, _UNIGRAMS = range(4)
-PACKED = "kind int, bucket int, payload binary"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
+PACKED = "kind int, bucket int, batch long, payload binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int64()), ("payload", pa.binary())])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -49,7 +50,7 @@ def _bucket(pair: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _by_bucket(kind: int, keys: np.ndarray, pair: np.ndarray, docs: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _by_bucket(kind: int, keys: np.ndarray, pair: np.ndarray, docs: np.ndarray, ids: np.ndarray, batches: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
     order = np.argsort(keys, kind="stable")
     keys, docs, of = keys[order], docs[order], _bucket(pair, buckets)[order]
     order = np.argsort(of, kind="stable")
@@ -58,22 +59,22 @@ def _by_bucket(kind: int, keys: np.ndarray, pair: np.ndarray, docs: np.ndarray,
         part = order[cuts[b] : cuts[b + 1]]
         if len(part):
             held, local = np.unique(docs[part], return_inverse=True)
-            yield kind, b, _pack(np.diff(keys[part], prepend=0), local.astype(np.uint16 if len(held) < 1 << 16 else np.uint32), ids[held], held.astype(np.int32))
+            yield kind, b, 0, _pack(np.diff(keys[part], prepend=0), local.astype(np.uint16 if len(held) < 1 << 16 else np.uint32), ids[held], batches[held])
 
 
-def _load(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, document numbers and the documents' ids of all payloads."""
-    keys, docs, ids, base = [], [], [], 0
+def _load(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and document numbers of all payloads; by number the documents' ids and map batches."""
+    keys, docs, ids, batches, base = [], [], [], [], 0
     for p in payloads:
-        steps, local, held, _ = _unpack(p)
+        steps, local, held, batch = _unpack(p)
         keys.append(np.cumsum(steps))
         docs.append(local.astype(np.int64) + base)
         ids.append(held)
+        batches.append(batch)
         base += len(held)
     if not keys:
-        return (np.zeros(0, np.int64),) * 3
-    found, number = np.unique(np.concatenate(ids), return_inverse=True)
-    return np.concatenate(keys), number[np.concatenate(docs)], found
+        return (np.zeros(0, np.int64),) * 4
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(ids), np.concatenate(batches)
 
 
 def _counts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ _NULL = np.iinfo(np.int64).min
 def _explode(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
-        for batch in runtime.slices(batches, "text", 8_000_000):
+        for batch in runtime.slices(batches, "text", 5_000_000):
             encoded = enc.encode(batch.column("text").to_pylist())
             sizes = np.array([len(e) for e in encoded]) + 4
             flat = np.full(int(sizes.sum()), END, np.int64)
@@ -103,38 +104,44 @@ def _explode(path: str, buckets: int):
             first = np.flatnonzero(number[2:] == number[:-2])  # begin, begin, ids, end, end
             keys = flat[first] << 2 * _BITS | flat[first + 1] << _BITS | flat[first + 2]
             ids = np.array([_NULL if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
-            rows = list(_by_bucket(0, keys, keys >> _BITS, number[first], ids, buckets))
+            # names the batch by its content, so that a task that runs again says the same
+            name = int.from_bytes(hashlib.sha256(ids.tobytes() + sizes.tobytes()).digest()[:8], "little", signed=True)
+            rows = list(_by_bucket(0, keys, keys >> _BITS, number[first], ids, np.full(len(ids), name), buckets))
             for at in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows[at : at + 16]], _SCHEMA)
 
     return run
 
 
-def _sums(docs: np.ndarray, ids: np.ndarray, logs: np.ndarray) -> bytes:
-    n = np.bincount(docs, minlength=len(ids))
-    held = np.flatnonzero(n)
-    return _pack(ids[held], np.bincount(docs, logs, len(ids))[held], n[held])
+def _sums(bucket: int, docs: np.ndarray, ids: np.ndarray, batches: np.ndarray, logs: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """A packed row of document sums for each map batch: rows grow with buckets and batches, not with documents times buckets."""
+    n, total = np.bincount(docs, minlength=len(ids)), np.bincount(docs, logs, len(ids))
+    order = np.argsort(batches, kind="stable")
+    order = order[n[order] > 0]
+    names, starts = np.unique(batches[order], return_index=True)
+    for name, part in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
+        yield _SUMS, bucket, name, _pack(ids[part], total[part], n[part].astype(np.int32))
 
 
 def _trigrams(buckets: int, least: int):
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        keys, docs, ids = _load(group.column("payload").to_pylist())
+        keys, docs, ids, batches = _load(group.column("payload").to_pylist())
         order = np.argsort(keys)
         keys, docs = keys[order], docs[order]
         c3, c2 = _counts(keys), _counts(keys >> _BITS)
         context = keys >> _BITS
         new = np.concatenate(([True], context[1:] != context[:-1]))
-        out = [(_BIGRAMS, bucket, _pack(np.diff(context[new], prepend=0), c2[new].astype(np.int64)))]
+        out = [(_BIGRAMS, bucket, 0, _pack(np.diff(context[new], prepend=0), c2[new].astype(np.int64)))]
         last = context[new] & _ID
         found, where = np.unique(last, return_inverse=True)
-        out.append((_UNIGRAMS, bucket, _pack(found, np.bincount(where, c2[new]).astype(np.int64))))
+        out.append((_UNIGRAMS, bucket, 0, _pack(found, np.bincount(where, c2[new]).astype(np.int64))))
         scored = context & _ID != END  # the row after the end only counts its context
         seen = scored & (c3 >= least)
-        out.append((_SUMS, bucket, _sums(docs[seen], ids, np.log(c3[seen]) - np.log(c2[seen]))))
+        out += _sums(bucket, docs[seen], ids, batches, np.log(c3[seen]) - np.log(c2[seen]))
         rest = scored & ~seen
         pair = keys[rest] & ((1 << 2 * _BITS) - 1)
-        out += _by_bucket(_REST, pair, pair, docs[rest], ids, buckets)
+        out += _by_bucket(_REST, pair, pair, docs[rest], ids, batches, buckets)
         return pa.Table.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in out], _SCHEMA)
 
     return run
@@ -143,18 +150,21 @@ def _trigrams(buckets: int, least: int):
 _SCORED = pa.schema([("doc_id", pa.int64()), ("log_sum", pa.float64()), ("n", pa.int64())])
 
 
-def _scored(rows: list[bytes]) -> pa.Table:
-    parts = [_unpack(r) for r in rows]
-    ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    return pa.table([pa.array(ids, pa.int64(), mask=ids == _NULL), np.concatenate([p[1] for p in parts]) if parts else [], np.concatenate([p[2] for p in parts]) if parts else []], schema=_SCORED)
+def _reduce(group: pa.Table) -> pa.Table:
+    """The documents of one map batch, their sums over all buckets added up."""
+    parts = [_unpack(p) for p in group.column("payload").to_pylist()]
+    ids, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.bincount(number, np.concatenate([p[1] for p in parts]), len(ids))
+    n = np.bincount(number, np.concatenate([p[2] for p in parts]), len(ids)).astype(np.int64)
+    return pa.table([pa.array(ids, pa.int64(), mask=ids == _NULL), total, n], schema=_SCORED)
 
 
 def _bigrams(unigrams: tuple[np.ndarray, np.ndarray], factor: float, least: int):
     def run(group: pa.Table) -> pa.Table:
         of = lambda kind: [p for k, p in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist(), strict=True) if k == kind]
-        keys, docs, ids = _load(of(_REST))
+        keys, docs, ids, batches = _load(of(_REST))
         if not len(keys):
-            return _SCORED.empty_table()
+            return _SCHEMA.empty_table()
         tables = [_unpack(p) for p in of(_BIGRAMS)]
         pairs, n = np.concatenate([np.cumsum(t[0]) for t in tables]), np.concatenate([t[1] for t in tables])
         order = np.argsort(pairs)
@@ -163,16 +173,12 @@ def _bigrams(unigrams: tuple[np.ndarray, np.ndarray], factor: float, least: int)
         c1 = lambda w: times[np.searchsorted(words, w)]
         # a text's first id has the begin mark before it, which stands once in each text
         logs = np.where(c2 >= least, math.log(factor) + np.log(c2) - np.log(c1(keys >> _BITS)), 2 * math.log(factor) + np.log(c1(keys & _ID)) - math.log(times[words < BEGIN].sum()))
-        return _scored([_sums(docs, ids, logs)])
+        rows = _sums(group.column("bucket")[0].as_py(), docs, ids, batches, logs)
+        return pa.Table.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], _SCHEMA)
 
     return run
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from _scored(batch.column("payload").to_pylist()).to_batches()
-
-
 def _open_unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in batch.column("payload").to_pylist():
@@ -194,9 +200,11 @@ def score(docs: DataFrame, *, path: str | None = None, factor: float = FACTOR, l
     # one row for each id of the vocabulary at most
     counted = level3.where(F.col("kind") == _UNIGRAMS).mapInArrow(_open_unigrams, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas().sort_values("token")
     unigrams = (counted["token"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
-    level2 = level3.where(F.col("kind").isin(_REST, _BIGRAMS)).groupBy("bucket").applyInArrow(_bigrams(unigrams, factor, least), "doc_id long, log_sum double, n long")
-    level3_sums = level3.where(F.col("kind") == _SUMS).mapInArrow(_open, "doc_id long, log_sum double, n long")
-    total = level3_sums.unionByName(level2).groupBy("doc_id").agg(F.sum("n").alias("n_scored"), F.sum("log_sum").alias("log_sum"))
+    level2 = level3.where(F.col("kind").isin(_REST, _BIGRAMS)).groupBy("bucket").applyInArrow(_bigrams(unigrams, factor, least), PACKED)
+    sums = level3.where(F.col("kind") == _SUMS).unionByName(level2)
+    # a batch's sums are never more than its tokens
+    by_batch = sums.groupBy("batch").applyInArrow(_reduce, "doc_id long, log_sum double, n long")
+    total = by_batch.groupBy("doc_id").agg(F.sum("n").alias("n_scored"), F.sum("log_sum").alias("log_sum"))
     return total.select("doc_id", "n_scored", F.round("log_sum", 6).alias("log_score"), F.round(F.col("log_sum") / F.col("n_scored"), 6).alias("mean_log"))
 
 
