@@ -18,7 +18,7 @@ _CACHED: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_CACHED.get(base, ())) < n:
+    if base not in _CACHED or len(_CACHED[base]) < n:
         made = np.full(max(n, 1 << 16), base, np.uint64)
         made[0] = 1
         _CACHED[base] = np.multiply.accumulate(made)

@@ -1,0 +1,41 @@
+"""The pipeline against a plain walk through its stages on a small folder of tables."""
+
+import random
+
+from attestor.llm import decontaminate, simhash
+from tests.llm.test_operators import SCHEMA, brute_components, texts
+
+import corpus_pipeline
+
+
+def test_stages_in_turn(spark, tmp_path):
+    rng = random.Random(11)
+    item = " ".join(f"q{i}" for i in range(30))
+    made = [t for t in texts()] + [f"{' '.join(f'a{i}' for i in range(40))} {item} tail words here"] * 2
+    rng.shuffle(made)
+    spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", "z") for i, t in enumerate(made)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_dedup", "decontamination", "secrets", "packing"]
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        out = stage(spark, docs, str(tmp_path))
+        if k == 4:
+            assert {r["doc_id"] for r in out.collect()} == set(before)
+            break
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r["doc_id"] for r in docs.collect()}
+        if name == "near_dedup":
+            _, root = brute_components(before)
+            assert kept[name] == {d for d in before if root[d] == d}
+        if name == "decontamination":
+            assert set(before) - kept[name] == {d for d, t in before.items() if item in t}
+        if name == "secrets":
+            assert kept[name] == set(before)
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in whole.collect()} == kept["secrets"]
+    assert simhash.fingerprint("") == 0 and decontaminate.words(None) == []
