@@ -47,10 +47,14 @@ def _counter(path: str, version: str):
     return run
 
 
+def _stored(spark: SparkSession, cache_path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
     """The stored counts; an absent cache is an empty one."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not _stored(spark, cache_path):
         return spark.createDataFrame([], CACHE_SCHEMA)
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
 
@@ -65,10 +69,11 @@ def count_tokens(docs: DataFrame, cache_path: str, *, path: str | None = None, l
     version = tokens.vocabulary_digest(path)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digest = F.unhex(F.sha2(F.col("text"), 256)).alias("digest")
-    stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    misses = keyed.select(digest, "text").join(stored.select("digest").distinct(), "digest", "left_anti")
     # one text a digest and map task crosses the shuffle, however large a group of copies is
-    dealt = misses.mapInArrow(_first_of_batch, "digest binary, text string").repartition("digest")
+    dealt = keyed.select(digest, "text").mapInArrow(_first_of_batch, "digest binary, text string").repartition("digest")
+    if _stored(spark, cache_path):  # the join keeps the partitions by digest: text is shuffled once
+        stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
+        dealt = dealt.join(stored.select("digest").distinct(), "digest", "left_anti")
     dealt.mapInArrow(_counter(path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)
