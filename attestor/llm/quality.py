@@ -55,7 +55,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def _values() -> dict[str, str]:
+def values() -> dict[str, str]:
     return {
         "word_length": "word_chars * 100 div n_words",
         "symbols": "n_symbols * 1000 div n_words",
@@ -66,7 +66,7 @@ def _values() -> dict[str, str]:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n over the documents that pass the base rules; add n to merge."""
-    pairs = ", ".join(f"'{k}', {v}" for k, v in _values().items())
+    pairs = ", ".join(f"'{k}', {v}" for k, v in values().items())
     long = measured.where("NOT base_failed").selectExpr("coalesce(lang, '') AS lang", "coalesce(source, '') AS source", f"stack({len(MEASURES)}, {pairs}) AS (measure, v)")
     shift = "greatest(0, length(bin(v)) - 6)"
     return long.selectExpr("lang", "source", "measure", f"shiftleft(shiftright(v, {shift}), {shift}) AS bucket").groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
@@ -104,9 +104,9 @@ def judge(docs: DataFrame) -> DataFrame:
     `source` may be missing. Repeated rows give a row each.
     """
     measured = runtime.written(measures(docs), "measures")
-    values = {m: F.expr(v) for m, v in _values().items()}
+    of = {m: F.expr(v) for m, v in values().items()}
     inside = F.lit(True)
-    for m, v in values.items():
+    for m, v in of.items():
         inside = inside & (v <= F.col(f"high_{m}"))
         if m in TWO_SIDED:
             inside = inside & (v >= F.col(f"low_{m}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, packing, quality, secrets, simhash, suffix_dedup, token_counts, url_filter, wavelet
+from . import decontaminate, lm_score, packing, quality, secrets, simhash, sql, suffix_dedup, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 
-SQL = {"op2_url_filter": url_filter.OP2_SQL}
+SQL = {"op2_url_filter": url_filter.OP2_SQL, "op4_quality": sql.quality_sql(), "op10_secrets": sql.secrets_sql()}
