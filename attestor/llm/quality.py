@@ -18,6 +18,8 @@ from . import runtime
 MEASURES = {"word_length": 300, "symbols": 150, "dup_lines": 300, "repeats": 150}
 TWO_SIDED = ("word_length",)
 SPREADS, SUPPORT = 5, 50
+#: Parts that each group's documents are dealt into for the join with its fences: one source may hold most rows.
+SALTS = 64
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 _SPACE = "\\t\\n\\u000B\\u000C\\r"
@@ -111,7 +113,9 @@ def judge(docs: DataFrame) -> DataFrame:
         if m in TWO_SIDED:
             inside = inside & (v >= F.col(f"low_{m}"))
     keyed = measured.withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
-    joined = keyed.join(fences(sketches(measured)), ["lang", "source"], "left")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    salted = fences(sketches(measured)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = keyed.join(salted, ["lang", "source", "salt"], "left")
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True)))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
