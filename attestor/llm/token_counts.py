@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from . import runtime, tokens
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
+#: A digest of more than one in HOT_SHARE rows (so fewer than HOT_SHARE digests) is dealt into SALTS parts.
+HOT_SHARE, SALTS = 1000, 256
 
 
 def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +61,17 @@ def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
 
 
+def _with_counts(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows(doc_id, n_bytes, digest) with n_tokens of known(digest, n_tokens); rows of a large group of copies go to many tasks."""
+    copies = rows.groupBy("digest").agg(F.count("*").alias("n"))
+    least = rows.count() // HOT_SHARE
+    hot = copies.where(F.col("n") > max(least, 1)).select("digest", F.lit(True).alias("hot"))
+    rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = known.join(F.broadcast(hot), "digest", "left").select("digest", "n_tokens", F.explode(parts).alias("salt"))
+    return rows.join(known, ["digest", "salt"], "left").select("doc_id", "n_bytes", "n_tokens")
+
+
 def count_tokens(docs: DataFrame, cache_path: str, *, path: str | None = None, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text), via the cache at `cache_path`.
 
@@ -76,8 +89,8 @@ def count_tokens(docs: DataFrame, cache_path: str, *, path: str | None = None, l
         dealt = dealt.join(stored.select("digest").distinct(), "digest", "left_anti")
     dealt.mapInArrow(_counter(path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)
-    return rows.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = runtime.written(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest), "digests")
+    return _with_counts(rows, known).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
