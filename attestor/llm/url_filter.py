@@ -120,7 +120,8 @@ def judge(pages: DataFrame, *, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFr
     lists = {v: ([r for k, r in rules if k == v], "keys") for v in ("allow", "block")} | {"listed": (list(listed_hosts), "hosts")}
     best = {}
     for name, (keys, of) in lists.items():
-        cascade = Cascade.build(spark.createDataFrame([(k,) for k in keys], "key string"), _universe(rows, of))
+        listed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
+        cascade = Cascade.build(listed, _universe(rows, of))
         best[name] = F.get(F.filter(of, cascade.contains), F.lit(0))
     found = rows.select("page_id", "host", "path", *[c.alias(n) for n, c in best.items()])
     blocks = F.col("block").isNotNull() & (F.col("allow").isNull() | (F.length("block") >= F.length("allow")))
