@@ -3,19 +3,23 @@
 Byte-level BPE never merges across a single space or newline that stands between two visible
 characters: such a separator always opens the next piece. A regular text (words divided by one space
 or newline each) is therefore cut there, every distinct unit is encoded once by the library, and the
-ids of a text are gathered from the memo. Any other text, and one that holds an added token's string,
-goes to the library whole. Both ways give the library's own ids.
+ids of a text are gathered from the memo. Unknown units go to the library many at a time, each with its
+separator; the bytes that every id stands for tell whose ids they are. Any other text, and one that
+holds an added token's string, goes to the library whole. Both ways give the library's own ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from itertools import chain
 
 import numpy as np
 
 #: Units that one Python worker remembers (about 250 bytes each); the memo starts afresh beyond it.
 MEMO_UNITS = 500_000
+#: Unknown units that are encoded as one text.
+JOINED = 2000
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -51,6 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_unit = self._separable()
+        self.token_bytes = self._token_bytes()
         self._reset()
 
     def _separable(self) -> bool:
@@ -61,6 +66,13 @@ class Encoder:
         pre = conf.get("pre_tokenizer") or {}
         return conf["model"]["type"] == "BPE" and not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
+    def _token_bytes(self) -> np.ndarray:
+        """Bytes that each id stands for: a byte-level token has one character a byte."""
+        vocabulary = self.tokenizer.get_vocab()
+        sizes = np.zeros(1 + max(vocabulary.values(), default=0), np.int64)
+        sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        return sizes
+
     def _reset(self) -> None:
         self.units = _Units()
         self.starts = np.zeros(1024, np.int64)
@@ -71,23 +83,43 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _one_by_one(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each part, and the ids of all."""
+        got = self._library(parts)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts that each open with a separator, fewer texts for the library."""
+        if any(a.split() != [a] for a in self.added):  # joined parts could make up such a token
+            return self._one_by_one(parts)
+        _, flat = self._one_by_one(["".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)])
+        upto = np.cumsum(self.token_bytes[flat])
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        last = np.searchsorted(upto, ends)
+        if len(parts) and (last[-1] != len(flat) - 1 or (upto[last] != ends).any()):  # an id of unknown width
+            return self._one_by_one(parts)
+        return np.diff(last, prepend=-1), flat
+
     def _learn(self) -> None:
         fresh, self.units.fresh = self.units.fresh, []
         if not fresh:
             return
         # \r marks a text's first word, which has no separator before it
-        got = self._library([u[1:] if u[0] == "\r" else u if u[0] == "\n" else f" {u}" for u in fresh])
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-        first = self.n_units
-        while len(self.sizes) < first + len(sizes):
+        opening = np.fromiter((u[0] == "\r" for u in fresh), bool, len(fresh))
+        inner_sizes, inner = self._joined([u if u[0] == "\n" else f" {u}" for u in fresh if u[0] != "\r"])
+        first_sizes, firsts = self._one_by_one([u[1:] for u in fresh if u[0] == "\r"])
+        sizes, flat = np.concatenate((inner_sizes, first_sizes)), np.concatenate((inner, firsts))
+        places = self.n_units + np.concatenate((np.flatnonzero(~opening), np.flatnonzero(opening)))
+        past = self.n_units + len(fresh)
+        while len(self.sizes) < past:
             self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
         while len(self.pool) < self.n_pool + len(flat):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.sizes[first : first + len(sizes)] = sizes
-        self.starts[first : first + len(sizes)] = self.n_pool + np.cumsum(sizes) - sizes
+        self.sizes[places] = sizes
+        self.starts[places] = self.n_pool + np.cumsum(sizes) - sizes
         self.pool[self.n_pool : self.n_pool + len(flat)] = flat
-        self.n_units, self.n_pool = first + len(sizes), self.n_pool + len(flat)
+        self.n_units, self.n_pool = past, self.n_pool + len(flat)
 
     def _regular(self, text: str) -> list[str] | None:
         if not self.by_unit or not text or " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
