@@ -40,10 +40,12 @@ class WaveletMatrix:
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         left, planes = ids.astype(np.uint16 if depth <= 16 else np.uint32), []
         for level in range(depth - 1, -1, -1):
-            ones = (left >> level & 1).astype(bool)
+            ones = left & left.dtype.type(1 << level) != 0
             bits = np.packbits(ones, bitorder="little")
-            planes.append((int(len(ones) - ones.sum()), cls._directory(bits), bits))
-            left = np.concatenate((left[~ones], left[ones]))
+            # positions first: a mask of random bits is slow to index with
+            zeros = np.flatnonzero(~ones)
+            planes.append((len(zeros), cls._directory(bits), bits))
+            left = np.concatenate((left.take(zeros), left.take(np.flatnonzero(ones))))
         return cls(len(ids), planes)
 
     @staticmethod
@@ -108,8 +110,8 @@ class WaveletMatrix:
         for shift, (zeros, _, bits) in enumerate(reversed(self.planes)):
             ones = np.unpackbits(bits, count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(value)
-            above[~ones] = value[:zeros]
-            above[ones] = value[zeros:] | value.dtype.type(1 << shift)
+            above[np.flatnonzero(~ones)] = value[:zeros]
+            above[np.flatnonzero(ones)] = value[zeros:] | value.dtype.type(1 << shift)
             value = above
         return value.astype(np.uint32)
 
