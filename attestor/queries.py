@@ -185,8 +185,10 @@ def _bands(spark):
 
 
 def _decisions(spark, sf):
-    human = demo.labels(spark, sf).where("CAST(item_id AS BIGINT) % 7 = 0").select("item_id", "code_id", F.col("g").alias("label"))
-    p = demo.scores(spark, sf).where("CAST(item_id AS BIGINT) % 11 <> 0")  # the others stand for failed scores
+    """The second coder's positive judgements stand for reviews; the scorer does not serve German."""
+    human = demo.gold_log(spark, sf).where("coder = 'coder_2' AND label = 1").select("item_id", "code_id", "label")
+    served = demo.table(spark, sf, "documents").where("lang <> 'de'").select(F.col("doc_id").cast("string").alias("item_id"))
+    p = demo.scores(spark, sf).join(served, "item_id", "left_semi")
     return coding.apply_bands(demo.ids(spark, sf), demo.codes(spark), _bands(spark), p, human)
 
 
@@ -237,11 +239,13 @@ def pooled_scores(spark, sf):
 
 
 def _looked(spark, sf):
-    u = demo.items(spark, sf).select("item_id", F.lit(0).alias("unit_index"), "text", hashing.item_hash(F.col("text")).alias("text_hash"))
+    """All items against a cache that an earlier run over the English texts has filled."""
+    u = demo.items(spark, sf).select("item_id", F.lit(0).alias("unit_index"), "text", hashing.item_hash(F.col("text")).alias("text_hash"), "lang")
     c = spark.createDataFrame([("toxic", "c1"), ("high_quality", "c2")], "code_id string, code_hash string")
     empty = spark.createDataFrame([], scoring.CACHE_SCHEMA)
-    keys = scoring.lookups(u, c, empty, "recorded", "v1").where("CAST(item_id AS BIGINT) % 3 = 0").select("key", F.lit(0.5).alias("probability"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(0).cast("long").alias("input_tokens")).dropDuplicates(["key"])
-    return scoring.lookups(u, c, keys, "recorded", "v1")
+    earlier = scoring.lookups(u.where("lang = 'en'").drop("lang"), c, empty, "recorded", "v1")
+    keys = earlier.select("key", F.lit(0.5).alias("probability"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(0).cast("long").alias("input_tokens")).dropDuplicates(["key"])
+    return scoring.lookups(u.drop("lang"), c, keys, "recorded", "v1")
 
 
 def cache_hits(spark, sf):
@@ -269,9 +273,9 @@ def review_share(spark, sf):
 
 
 def replayed(spark, sf):
-    """Recorded answers by item hash, missing ones null."""
+    """Recorded answers of labelled items by item hash, missing ones null."""
     units_ = demo.items(spark, sf).select("item_id", hashing.item_hash(F.col("text")).alias("item_hash"))
-    rec = units_.where("CAST(item_id AS BIGINT) % 2 = 0").select("item_hash", F.lit("toxic").alias("code_id"), F.lit(0.25).alias("probability")).distinct()
+    rec = units_.join(demo.labels(spark, sf).select("item_id"), "item_id", "left_semi").select("item_hash", F.lit("toxic").alias("code_id"), F.lit(0.25).alias("probability")).distinct()
     return scoring.replay(units_, demo.codes(spark), rec, strict=False).select("item_id", "code_id", "probability")
 
 

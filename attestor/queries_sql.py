@@ -99,8 +99,8 @@ _CERTIFIED = (
 )
 
 _DECIDED = (
-    "human AS (SELECT item_id, code_id, g AS human FROM gold WHERE item_id::BIGINT % 7 = 0)",
-    "known AS (SELECT item_id, code_id, p FROM scores WHERE item_id::BIGINT % 11 <> 0)",
+    "human AS (SELECT item_id, code_id, label AS human FROM records WHERE coder = 'coder_2' AND label = 1)",
+    "known AS (SELECT item_id, code_id, p FROM scores JOIN items USING (item_id) WHERE lang <> 'de')",
     "bands(code_id, t_lo, t_hi) AS (VALUES ('toxic', 0.40::DOUBLE, 0.60::DOUBLE))",
     f"""decided AS (SELECT item_id, code_id, coalesce(human, {_DEC}) AS label, p AS probability,
       CASE WHEN human IS NOT NULL THEN 'human' WHEN t_hi IS NULL THEN 'not_automatable' WHEN {_DEC} IS NULL THEN 'abstain_unreviewed' ELSE 'auto' END AS source
@@ -113,8 +113,8 @@ _UNIFORM = """uniform AS (SELECT item_id, 'calibration' AS split, 'uniform' AS s
 
 _HASH = "sha256('4:item' || strlen(text) || ':' || text)"
 _LOOKED = (
-    f"cells AS (SELECT item_id, code_id, sha256('5:cache8:recorded2:v164:' || {_HASH} || strlen(code_id) || ':' || code_id || '2:' || code_hash) AS key FROM items CROSS JOIN (VALUES ('toxic', 'c1'), ('high_quality', 'c2')) AS v(code_id, code_hash))",
-    "held AS (SELECT DISTINCT key, 0.5::DOUBLE AS cached FROM cells WHERE item_id::BIGINT % 3 = 0)",
+    f"cells AS (SELECT item_id, code_id, lang, sha256('5:cache8:recorded2:v164:' || {_HASH} || strlen(code_id) || ':' || code_id || '2:' || code_hash) AS key FROM items CROSS JOIN (VALUES ('toxic', 'c1'), ('high_quality', 'c2')) AS v(code_id, code_hash))",
+    "held AS (SELECT DISTINCT key, 0.5::DOUBLE AS cached FROM cells WHERE lang = 'en')",
     "looked AS (SELECT * FROM cells LEFT JOIN held USING (key))",
 )
 
@@ -208,5 +208,5 @@ SQL: dict[str, str] = {
     "run_cost": _with("SELECT calls, input_tokens, output_tokens, n_codes, round(cost, 6) AS cost, cost > 5 AS confirm FROM (SELECT *, (input_tokens * 0.15::DOUBLE + output_tokens * 0.60::DOUBLE) / 1000000 AS cost FROM (SELECT count(*) AS calls, CAST(sum(length(text) // 4 + 1) + 50 * count(*) AS BIGINT) AS input_tokens, 32 * count(*) AS output_tokens, 2 AS n_codes FROM items))"),
     "backend_comparison": _with("SELECT 'sharp' AS backend, count(*) FILTER (WHERE verdict IN ('ok', 'weak')) AS usable, round(coalesce(1 - min(coverage) FILTER (WHERE verdict IN ('ok', 'weak')), 1), 6) AS share FROM certified UNION ALL SELECT 'blunt', 0, 1.0::DOUBLE", *_CERTIFIED),
     "review_share": _with("SELECT round(coalesce(1 - min(coverage), 1), 6) AS share FROM certified WHERE verdict IN ('ok', 'weak')", *_CERTIFIED),
-    "replayed": _with(f"SELECT item_id, code_id, CASE WHEN code_id = 'toxic' AND {_HASH} IN (SELECT {_HASH} FROM items WHERE item_id::BIGINT % 2 = 0) THEN 0.25::DOUBLE END AS probability FROM items CROSS JOIN codes"),
+    "replayed": _with(f"SELECT item_id, code_id, CASE WHEN code_id = 'toxic' AND {_HASH} IN (SELECT {_HASH} FROM items WHERE item_id IN (SELECT item_id FROM gold)) THEN 0.25::DOUBLE END AS probability FROM items CROSS JOIN codes"),
 }
