@@ -250,7 +250,8 @@ def lookups(units: DataFrame, codes: DataFrame, cache: DataFrame, backend_name:
 def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """Newest row of each key; a null probability is never stored."""
     every = cache.unionByName(fresh.where("probability is not null"))
-    return every.groupBy("key").agg(F.max_by("probability", "created_at").alias("probability"), F.max("created_at").alias("created_at"), F.max_by("input_tokens", "created_at").alias("input_tokens"))
+    newest = F.struct("created_at")  # a row without a date counts as the oldest, but counts
+    return every.groupBy("key").agg(F.max_by("probability", newest).alias("probability"), F.max("created_at").alias("created_at"), F.max_by("input_tokens", newest).alias("input_tokens"))
 
 
 def cache_stats(looked: DataFrame) -> DataFrame:

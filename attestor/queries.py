@@ -248,6 +248,34 @@ def _looked(spark, sf):
     return scoring.lookups(u.drop("lang"), c, keys, "recorded", "v1")
 
 
+def _by_length(text: str, code_id: str) -> float | None:
+    """A scorer that any engine reproduces; it fails on every tenth length for one code."""
+    return None if code_id == "toxic" and len(text) % 10 == 0 else len(text) % 100 / 100
+
+
+def _run(spark, sf) -> scoring.Run:
+    """Scoring of all items, whole, against the cache of an earlier run over the English texts."""
+    c = spark.createDataFrame([(i, i, i, None, None) for i in demo.CODE_IDS], "code_id string, code_hash string, definition string, examples_yes array<string>, examples_no array<string>")
+    items, scorer = demo.items(spark, sf), scoring.CallableBackend(function=_by_length)
+    u = items.where("lang = 'en'").select(hashing.item_hash(F.col("text")).alias("text_hash")).distinct()
+    keys = scoring.lookups(u, c, spark.createDataFrame([], scoring.CACHE_SCHEMA), scorer.name, scorer.model_version)
+    cache = keys.select("key", F.lit(0.5).alias("probability"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(0).cast("long").alias("input_tokens"))
+    return scoring.run(spark, items, c, scorer, cache, max_tokens=1 << 28)
+
+
+def run_scores(spark, sf):
+    return _r(_run(spark, sf).scores.select("item_id", "code_id", "probability"))
+
+
+def run_failures(spark, sf):
+    return _run(spark, sf).failures
+
+
+def run_cache(spark, sf):
+    """What the cache holds after the run."""
+    return _r(_run(spark, sf).cache.groupBy("probability").agg(F.count("*").alias("n")))
+
+
 def cache_hits(spark, sf):
     return _r(scoring.cache_stats(_looked(spark, sf)))
 
@@ -285,7 +313,7 @@ QUERIES = {
         certify, split_assignment, split_counts, split_violations, item_hashes, corpus_digest, length_stats, confusion, effective_sizes, brier, reliability, calibration_error,
         band_grid, band_candidates, band_fit, evidence_shortfall, realised_risk, selective_curve, labour_curve, random_baseline, bootstrap_interval, most_informative, gold_latest,
         primary_coder, coded_pairs, gold_labels, double_coded, human_ceiling, human_labels, gold_summary, plan_uniform, enrichment_pool, plan_enriched, plan_overlap, decisions,
-        decision_sources, decision_coverage, coded_table, abstentions, review_queue, code_drift, distinct_texts, passages, pooled_scores, cache_hits, cache_misses, run_cost,
+        decision_sources, decision_coverage, coded_table, abstentions, review_queue, code_drift, distinct_texts, passages, pooled_scores, run_scores, run_failures, run_cache, cache_hits, cache_misses, run_cost,
         backend_comparison, review_share, replayed,
     )
 }

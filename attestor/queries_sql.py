@@ -118,6 +118,12 @@ _LOOKED = (
     "looked AS (SELECT * FROM cells LEFT JOIN held USING (key))",
 )
 
+_RAN = (
+    "early AS (SELECT DISTINCT text AS t FROM items WHERE lang = 'en')",
+    """ran AS (SELECT item_id, code_id, text, CASE WHEN early.t IS NOT NULL THEN 0.5::DOUBLE WHEN code_id = 'toxic' AND length(text) % 10 = 0 THEN NULL ELSE length(text) % 100 / 100.0::DOUBLE END AS probability
+      FROM items CROSS JOIN codes LEFT JOIN early ON text = t WHERE text <> '')""",
+)
+
 _DRAWS = (
     "t AS (SELECT * FROM even WHERE split = 'test')",
     "ranked AS (SELECT t.*, rep, row_number() OVER (PARTITION BY code_id, rep ORDER BY sha256('0:' || rep || ':' || code_id || ':' || item_id)) AS rank, count(*) OVER (PARTITION BY code_id, rep) AS n FROM t CROSS JOIN (SELECT range AS rep FROM range(0, 20)))",
@@ -203,6 +209,9 @@ SQL: dict[str, str] = {
     "code_drift": "SELECT * FROM (VALUES ('aaa', 'added'), ('bbb', 'same'), ('ccc', 'changed'), ('ddd', 'removed')) AS v(code_id, change)",
     "distinct_texts": _with(f"SELECT {_HASH} AS text_hash, max(length(text)) AS n_chars, count(*) AS n_units FROM items GROUP BY text"),
     "pooled_scores": "SELECT CAST(conv_id AS VARCHAR) AS item_id, 'toxic' AS code_id, round(max(p), 6) AS largest, round(avg(p), 6) AS mean FROM (SELECT conv_id, CASE WHEN length(text) % 5 <> 0 THEN length(text) % 100 / 100.0::DOUBLE END AS p FROM conversations) GROUP BY conv_id",
+    "run_scores": _with("SELECT item_id, code_id, round(probability, 6) AS probability FROM ran", *_RAN),
+    "run_failures": _with("SELECT DISTINCT item_id FROM ran WHERE probability IS NULL", *_RAN),
+    "run_cache": _with("SELECT round(probability, 6) AS probability, count(DISTINCT code_id || ':' || text) AS n FROM (SELECT * FROM ran UNION ALL SELECT '', code_id, t, 0.5 FROM early CROSS JOIN codes) WHERE probability IS NOT NULL GROUP BY probability", *_RAN),
     "cache_hits": _with("SELECT count(*) AS lookups, count(cached) AS hits, count(*) - count(cached) AS misses, round(count(cached) / count(*)::DOUBLE, 6) AS hit_rate FROM looked", *_LOOKED),
     "cache_misses": _with("SELECT item_id, code_id, key FROM looked WHERE cached IS NULL", *_LOOKED),
     "run_cost": _with("SELECT calls, input_tokens, output_tokens, n_codes, round(cost, 6) AS cost, cost > 5 AS confirm FROM (SELECT *, (input_tokens * 0.15::DOUBLE + output_tokens * 0.60::DOUBLE) / 1000000 AS cost FROM (SELECT count(*) AS calls, CAST(sum(length(text) // 4 + 1) + 50 * count(*) AS BIGINT) AS input_tokens, 32 * count(*) AS output_tokens, 2 AS n_codes FROM items))"),
