@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-#: Units that one Python worker remembers (about 250 bytes each); the memo starts afresh beyond it.
+#: Units that one Python worker remembers (about 250 bytes each); beyond it only those used again stay.
 MEMO_UNITS = 500_000
 #: Unknown units that are encoded as one text.
 JOINED = 2000
@@ -77,9 +77,40 @@ class Encoder:
         self.units = _Units()
         self.starts = np.zeros(1024, np.int64)
         self.sizes = np.zeros(1024, np.int64)
+        self.uses = np.zeros(1024, np.int64)
         self.pool = np.zeros(4096, np.uint32)
         self.n_units = self.n_pool = 0
 
+    def _forget(self) -> None:
+        """Drop the units that were used once; all, if the others leave no room."""
+        kept = np.flatnonzero(self.uses[: self.n_units] > 1)
+        names, sizes, ids = list(self.units), self.sizes[kept], self._gathered(kept)
+        self._reset()
+        if len(kept) <= MEMO_UNITS // 2:
+            self.units.update(zip([names[i] for i in kept.tolist()], range(len(kept)), strict=True))
+            self._add(np.arange(len(kept)), sizes, ids)
+            self.uses[: len(kept)] = 1
+
+    def _gathered(self, units: np.ndarray) -> np.ndarray:
+        """Ids of the units, one after another."""
+        sizes = self.sizes[units]
+        total = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[units] - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
+
+    def _add(self, places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Store the ids of units that have got the numbers `places`."""
+        past = self.n_units + len(places)
+        while len(self.sizes) < past:
+            self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
+        if len(self.uses) < len(self.sizes):
+            self.uses = np.concatenate((self.uses, np.zeros(len(self.sizes) - len(self.uses), np.int64)))
+        while len(self.pool) < self.n_pool + len(flat):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.sizes[places] = sizes
+        self.starts[places] = self.n_pool + np.cumsum(sizes) - sizes
+        self.pool[self.n_pool : self.n_pool + len(flat)] = flat
+        self.n_units, self.n_pool = past, self.n_pool + len(flat)
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -111,15 +142,7 @@ class Encoder:
         first_sizes, firsts = self._one_by_one([u[1:] for u in fresh if u[0] == "\r"])
         sizes, flat = np.concatenate((inner_sizes, first_sizes)), np.concatenate((inner, firsts))
         places = self.n_units + np.concatenate((np.flatnonzero(~opening), np.flatnonzero(opening)))
-        past = self.n_units + len(fresh)
-        while len(self.sizes) < past:
-            self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
-        while len(self.pool) < self.n_pool + len(flat):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.sizes[places] = sizes
-        self.starts[places] = self.n_pool + np.cumsum(sizes) - sizes
-        self.pool[self.n_pool : self.n_pool + len(flat)] = flat
-        self.n_units, self.n_pool = past, self.n_pool + len(flat)
+        self._add(places, sizes, flat)
 
     def _regular(self, text: str) -> list[str] | None:
         if not self.by_unit or not text or " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
@@ -131,7 +154,7 @@ class Encoder:
     def _plan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """Unit indexes of the regular texts, end of each text's units, ids of the other texts."""
         if self.n_units > MEMO_UNITS:
-            self._reset()
+            self._forget()
         flat: list[int] = []
         ends, odd = np.zeros(len(texts), np.int64), []
         look = self.units.__getitem__
@@ -144,14 +167,16 @@ class Encoder:
             ends[i] = len(flat)
         self._learn()
         whole = dict(zip(odd, (np.array(x, np.uint32) for x in self._library([texts[i] for i in odd])), strict=True)) if odd else {}
-        return np.array(flat, np.int64), ends, whole
+        numbers = np.array(flat, np.int64)
+        if len(numbers):
+            met = np.bincount(numbers)
+            self.uses[: len(met)] += met
+        return numbers, ends, whole
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         flat, ends, whole = self._plan(texts)
-        sizes = self.sizes[flat]
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.repeat(self.starts[flat] - total[:-1], sizes) + np.arange(total[-1])
-        ids, cut = self.pool[at], total[ends]
+        ids = self._gathered(flat)
+        cut = np.concatenate(([0], np.cumsum(self.sizes[flat])))[ends]
         return [whole[i] if i in whole else ids[cut[i - 1] if i else 0 : cut[i]] for i in range(len(texts))]
 
     def count(self, texts: list[str]) -> np.ndarray:
