@@ -112,13 +112,5 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3) ->
     return made.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component; rows with a null doc_id stay, as none can be preferred."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    leaders = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(runtime.table(spark, sf_dir, "documents"))
