@@ -22,7 +22,7 @@ from . import runtime
 SHORTEST, THRESHOLD = 5, 0.8
 #: Characters of test items that one pass over the documents holds; more items take more passes.
 BLOCK_CHARS = 8_000_000
-LEAKS = "doc_id long, item_id long, covered long, item_words long, coverage double, tiles long"
+LEAKS = "doc_id long, item_id long, covered long, item_words long, coverage double, tiles long, tkey long"
 _APART = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -94,7 +94,7 @@ def _leaks(items: list[tuple[int, list[bytes]]], shortest: int, threshold: float
         look = vocabulary.__getitem__
         for batch in runtime.slices(batches, "text"):
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tkey", "text")), strict=True):
                 ws = words(text)
                 codes = np.fromiter(map(look, ws), np.int64, len(ws))
                 n = len(codes) - shortest + 1
@@ -125,24 +125,20 @@ def _leaks(items: list[tuple[int, list[bytes]]], shortest: int, threshold: float
                     tiles = tile(own, near, shortest)
                     covered = sum(t[2] for t in tiles)
                     if covered >= threshold * len(own):
-                        out.append((doc, item, covered, len(own), covered / len(own), len(tiles)))
+                        out.append((doc, item, covered, len(own), covered / len(own), len(tiles), key))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "covered", "item_words", "coverage", "tiles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "covered", "item_words", "coverage", "tiles", "tkey"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document and test item that it leaks: doc_id, item_id, covered, item_words, coverage, tiles.
-
-    Clean documents have no row. Items of fewer than `shortest` words, and null texts, match nothing. Ids
-    may be null or repeated; equal rows give equal results each. Items are held in blocks of bounded size.
-    """
+def _leaking(docs: DataFrame, benchmark: DataFrame, shortest: int, threshold: float) -> DataFrame:
+    """The columns of `leaks` and tkey, the hash of the document's text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(size) // BLOCK_CHARS
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
     found = spark.createDataFrame([], LEAKS)
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
@@ -152,10 +148,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST, th
     return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that leak no item (judged by row where doc_id is null or repeated: all rows of a leaking id go)."""
-    bad = runtime.written(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaking")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def leaks(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document and test item that it leaks: doc_id, item_id, covered, item_words, coverage, tiles.
+
+    Clean documents have no row. Items of fewer than `shortest` words, and null texts, match nothing. Ids
+    may be null or repeated; equal rows give equal results each. Items are held in blocks of bounded size.
+    """
+    return _leaking(docs, benchmark, shortest, threshold).drop("tkey")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that leak no item, each judged by itself: rows that share an id are told apart by their texts."""
+    found = _leaking(docs, benchmark, shortest, threshold).select(F.col("doc_id").alias("bad_doc"), "tkey").distinct()
+    bad = runtime.written(found, "leaking")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["tkey"]), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,20 +38,20 @@ _LINES = f"filter(split(body, '\\n', -1), x -> translate(x, ' {_SPACE}', '') <>
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base counts and base_failed of every row of docs; null text has no words."""
+    """doc_id, tkey (hash of the text), lang, source, the base counts and base_failed of every row of docs; null text has no words."""
     at = docs.columns
     keep = [F.col(c) if c in at else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
     rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("body"))
     split = rows.selectExpr("*", f"{_WORDS} AS w", f"{_LINES} AS lines")
     hashed = split.selectExpr(
-        "doc_id", "lang", "source", "w", f"{_HASHES} AS hashes",
+        "doc_id", "xxhash64(body) AS tkey", "lang", "source", "w", f"{_HASHES} AS hashes",
         f"CAST(length(translate(body, ' {_SPACE}', '')) AS LONG) AS word_chars",
         "CAST(length(body) - length(translate(body, '#*$%&|<>', '')) AS LONG) AS n_symbols",
         "CAST(size(lines) AS LONG) AS n_lines",
         "CAST(size(lines) - size(array_distinct(lines)) AS LONG) AS n_dup_lines",
     )
     counted = hashed.selectExpr(
-        "doc_id", "lang", "source", "CAST(size(w) AS LONG) AS n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+        "doc_id", "tkey", "lang", "source", "CAST(size(w) AS LONG) AS n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         f"CAST(CASE WHEN size(array_distinct(hashes)) < size(hashes) THEN {_REPEATED} ELSE 0 END AS LONG) AS n_repeat_words",
     )
     return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
@@ -98,13 +98,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     return sized.groupBy("lang", "source").agg(*columns)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row of docs.
-
-    kept is false for a base failure and outside the fences of the row's language and source. Null and
-    empty texts fail the base; null languages and sources form groups of their own; columns `lang` and
-    `source` may be missing. Repeated rows give a row each.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
+    """The columns of `judge` besides tkey, lang and source (nulls as empty), on which the verdict depends."""
     measured = runtime.written(measures(docs), "measures")
     of = {m: F.expr(v) for m, v in values().items()}
     inside = F.lit(True)
@@ -117,13 +112,25 @@ def judge(docs: DataFrame) -> DataFrame:
     salted = fences(sketches(measured)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = keyed.join(salted, ["lang", "source", "salt"], "left")
     kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True)))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return joined.select("doc_id", "tkey", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row of docs.
+
+    kept is false for a base failure and outside the fences of the row's language and source. Null and
+    empty texts fail the base; null languages and sources form groups of their own; columns `lang` and
+    `source` may be missing. Repeated rows give a row each.
+    """
+    return _judged(docs).drop("tkey", "lang", "source")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id was kept (of rows that share an id, all go if one is rejected)."""
-    bad = judge(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of docs that were kept, each judged by itself: rows that share an id are told apart by text, language and source."""
+    bad = _judged(docs).where("NOT kept").select(F.col("doc_id").alias("bad_doc"), "tkey", F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct()
+    of = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    same = docs["doc_id"].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["tkey"])
+    return docs.join(bad, same & (of("lang") == bad["bad_lang"]) & (of("source") == bad["bad_source"]), "left_anti")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
