@@ -3,7 +3,8 @@
 Words (lower case, ASCII punctuation apart) of the test items give seeds of `shortest` words. Documents
 are joined to items on shared seeds; each candidate pair is tiled: the longest common runs of words that
 no earlier tile covers are marked first, found by running Karp-Rabin hashes at falling lengths. An item
-is leaked if tiles of at least `shortest` words cover `threshold` of it, in whatever order they stand.
+is leaked if tiles of at least `shortest` words cover `threshold` of it, in whatever order they stand; an
+item of fewer words, if it stands in the document whole.
 """
 
 from __future__ import annotations
@@ -132,6 +133,17 @@ def _leaks(items: list[tuple[int, list[bytes]]], shortest: int, threshold: float
     return run
 
 
+def _each(searches: list):
+    """One pass over the documents for searches by several lengths of seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for search in searches:
+                yield from search(iter([batch]))
+
+    return run
+
+
 def _leaking(docs: DataFrame, benchmark: DataFrame, shortest: int, threshold: float) -> DataFrame:
     """The columns of `leaks` and tkey, the hash of the document's text."""
     spark = docs.sparkSession
@@ -142,16 +154,20 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, shortest: int, threshold: fl
     found = spark.createDataFrame([], LEAKS)
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        held = [(r["item_id"], ws) for r in block if len(ws := words(r["text"])) >= shortest]
+        held: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
+        for r in block:
+            if ws := words(r["text"]):
+                held[min(shortest, len(ws))].append((r["item_id"], ws))
         if held:
-            found = found.unionByName(rows.mapInArrow(_leaks(held, shortest, threshold), LEAKS))
+            found = found.unionByName(rows.mapInArrow(_each([_leaks(items_, length, threshold) for length, items_ in sorted(held.items())]), LEAKS))
     return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and test item that it leaks: doc_id, item_id, covered, item_words, coverage, tiles.
 
-    Clean documents have no row. Items of fewer than `shortest` words, and null texts, match nothing. Ids
+    Clean documents have no row. Items of fewer than `shortest` words leak where they stand whole, with their
+    own length as that of seed and tile. Items without words and null texts match nothing. Ids
     may be null or repeated; equal rows give equal results each. Items are held in blocks of bounded size.
     """
     return _leaking(docs, benchmark, shortest, threshold).drop("tkey")
