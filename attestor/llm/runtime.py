@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +16,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="attestor-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
     return _LOCAL["dir"]
 
 
@@ -33,11 +38,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete scratch tables made by `written` that no later step reads."""
+    for df in tables:
+        drop_path(df.sparkSession, df._scratch)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later stage reads."""
+    """Delete a folder of the shared file system."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -88,7 +88,35 @@ def brute_repeats(texts_, window):
 @pytest.mark.parametrize("window", [400, 77])
 def test_op1(docs, by_id, window):
     got = collected(suffix_dedup.remove_repeats(docs, window))
-    assert {d: tuple(r[1:]) for d, r in got.items()} == brute_repeats(by_id, window)
+    assert {d: tuple(r[1:5]) for d, r in got.items()} == brute_repeats(by_id, window)
+
+
+def brute_shared(texts_, passage):
+    """Words under runs of `passage` words that another document holds too."""
+    words = {d: t.encode().split() for d, t in texts_.items()}
+    holders = collections.defaultdict(set)
+    for d, w in words.items():
+        for i in range(len(w) - passage + 1):
+            holders[tuple(w[i : i + passage])].add(d)
+    out = {}
+    for d, w in words.items():
+        out[d] = len({j for i in range(len(w) - passage + 1) if len(holders[tuple(w[i : i + passage])]) > 1 for j in range(i, i + passage)})
+    return out
+
+
+@pytest.mark.parametrize(("passage", "bucket_bytes", "part_bytes"), [(51, 6_000_000, 1 << 20), (9, 700, 1 << 20), (12, 3000, 1 << 20)])
+def test_op1_shared_words_and_many_buckets(spark, monkeypatch, docs, by_id, passage, bucket_bytes, part_bytes):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket_bytes)
+    rng = random.Random(passage)
+    pool = ["".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(300)]
+    passages = [" ".join(rng.choices(pool, k=k)) for k in (60, 52, 51, 50, 30, 15)]
+    more = {1000 + i: "\n".join([" ".join(rng.choices(pool, k=rng.randint(0, 90))), rng.choice(passages), " ".join(rng.choices(pool, k=rng.randint(0, 90))), rng.choice(passages)]) for i in range(60)}
+    more |= {2000: passages[0].replace(" ", " \t"), 2001: "\n" + passages[1] + "\r\n", 2002: f"{passages[0]} {passages[0]}x", 2003: "same again " * 80}
+    made = by_id | more
+    extra = spark.createDataFrame([(d, t) for d, t in more.items()], "doc_id long, text string")
+    got = collected(suffix_dedup.remove_repeats(docs.select("doc_id", "text").union(extra), passage=passage))
+    assert {d: r["n_shared_words"] for d, r in got.items()} == brute_shared(made, passage)
+    assert {d: tuple(r[1:5]) for d, r in got.items()} == brute_repeats(made, 400)
 
 
 def test_op1_long_text_in_parts_and_many_shards(monkeypatch, spark):
@@ -97,14 +125,18 @@ def test_op1_long_text_in_parts_and_many_shards(monkeypatch, spark):
     made = {0: base + "c" * 50 + base, 1: base[500:1600] + "d", 2: "e" * 1000}
     found = suffix_dedup.repeated_starts([made[1].encode(), base[400:1700].encode()], [100, 200], 400, shard_symbols=40)
     assert found[0].tolist() == list(range(0, 701)) and found[1].tolist() == list(range(100, 801))
+    made[3] = " ".join(rng.choices(["a", "bc", "de"], k=2500))
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 600)  # in this process: the map function is run by hand
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pylist([{"doc_id": d, "tkey": d, "text": t} for d, t in made.items()])
     rows = [r for b in suffix_dedup._rows(400)(iter([batch])) for r in b.to_pylist()]
     for d, t in made.items():
-        starts = sorted(s for r in rows if r["doc_id"] == d for s in range(r["lo"], r["hi"] + 1))
-        assert starts == list(range(len(t) - 399))
+        for kind, size in ((0, len(t) - 399), (1, len(t.split()) - 50)):
+            own = [r for r in rows if r["doc_id"] == d and r["anchor"] & 1 == kind]
+            assert sorted(s for r in own for s in range(r["lo"], r["hi"] + 1)) == list(range(size))
+            for r in own if kind else ():
+                assert t[r["at"] : r["at"] + r["size"]].split() == t.split()[r["lo"] : r["hi"] + 51]
 
 
 def test_transform_merge_orders_all_suffixes():
