@@ -17,15 +17,18 @@ def roots(links: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = runtime.written(links.select("a", "b").where("a <> b").distinct(), "links")
-    nodes = both(edges).select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    nodes = runtime.written(both(edges).select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "nodes")
     while not edges.isEmpty():
         parents = both(edges).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
-        parents = runtime.written(parents, "parents")
+        first = runtime.written(parents, "parents")
         # two steps at once where the parent itself moves on
-        p2 = parents.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parents = runtime.written(parents.join(p2, "p", "left").select("a", F.coalesce("pp", "p").alias("p")), "parents")
+        p2 = first.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        parents = runtime.written(first.join(p2, "p", "left").select("a", F.coalesce("pp", "p").alias("p")), "parents")
         of = lambda c: parents.select(F.col("a").alias(c), F.col("p").alias(f"{c}_root"))  # noqa: E731, B023
-        nodes = runtime.written(nodes.join(of("root"), "root", "left").select("node", F.coalesce("root_root", "root").alias("root")), "nodes")
         moved = edges.join(of("a"), "a").join(of("b"), "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
-        edges = runtime.written(moved.where("a <> b").distinct(), "links")
+        left = runtime.written(moved.where("a <> b").distinct(), "links")
+        named = runtime.written(nodes.join(of("root"), "root", "left").select("node", F.coalesce("root_root", "root").alias("root")), "nodes")
+        runtime.dropped(edges, nodes, first, parents)
+        edges, nodes = left, named
+    runtime.dropped(edges)
     return nodes

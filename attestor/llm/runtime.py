@@ -60,6 +60,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of df has."""
+    held = {c.lower() for c in df.columns}
+    made = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        made.append(name)
+    return made
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """Re-cut Arrow batches so that each holds about `limit` bytes of `text` (one row at least)."""
     for batch in batches:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import runtime
 
 REACH = 200
+#: Matches whose positions are summed up together.
+RUN = 500
 #: Order of kinds where spans start together.
 KINDS = ("assign", "access", "hex", "weak")
 
@@ -36,14 +38,19 @@ def _found(pattern: str, kind: str, when: str, value: int = 0, least: int = 0, m
     The text between matches and the matches themselves, laid end to end, give the positions.
     """
     p = _quoted(pattern)
+    # positions are summed up in runs of bounded length, as adding to an array copies it
+    step = f"""struct(a.at + length(x.`0`) + length(x.`1`) AS at,
+                   concat(a.s, array(struct(a.at + length(x.`0`) AS start, a.at + length(x.`0`) + length(x.`1`) AS past, '{kind}' AS kind, length(x.`2`) AS size))) AS s)"""
+    empty = "CAST(array() AS ARRAY<STRUCT<start: INT, past: INT, kind: STRING, size: INT> >)"
     spans = f"""
     filter(
-      aggregate(
-        arrays_zip(slice(split(body, {p}, -1), 1, size(regexp_extract_all(body, {p}, 0))), regexp_extract_all(body, {p}, 0), regexp_extract_all(body, {p}, {value})),
-        struct(0 AS at, CAST(array() AS ARRAY<STRUCT<start: INT, past: INT, kind: STRING, size: INT> >) AS s),
-        (a, x) -> struct(a.at + length(x.`0`) + length(x.`1`) AS at,
-                         concat(a.s, array(struct(a.at + length(x.`0`) AS start, a.at + length(x.`0`) + length(x.`1`) AS past, '{kind}' AS kind, length(x.`2`) AS size))) AS s),
-        a -> a.s),
+      transform(array(arrays_zip(slice(split(body, {p}, -1), 1, size(regexp_extract_all(body, {p}, 0))), regexp_extract_all(body, {p}, 0), regexp_extract_all(body, {p}, {value}))), m ->
+        aggregate(
+          sequence(0, size(m) div {RUN}),
+          struct(0 AS at, array({empty}) AS runs),
+          (all, k) -> transform(array(aggregate(slice(m, k * {RUN} + 1, {RUN}), struct(all.at AS at, {empty} AS s), (a, x) -> {step})), r ->
+            struct(r.at AS at, concat(all.runs, array(r.s)) AS runs))[0],
+          all -> flatten(all.runs)))[0],
       x -> x.size >= {least} AND x.size <= {most})"""
     none = "CAST(array() AS ARRAY<STRUCT<start: INT, past: INT, kind: STRING> >)"
     return f"CASE WHEN {when} THEN transform({spans}, x -> struct(x.start AS start, x.past AS past, x.kind AS kind)) ELSE {none} END"
@@ -99,16 +106,25 @@ def scan(docs: DataFrame, *, reach: int = REACH) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
-    """docs with every reported span of text replaced by `mask`, columns as before; overlapping spans are replaced together."""
-    hits = scan(docs, reach=reach).where("size(found) > 0").select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key"), "found").dropDuplicates(["hit_doc", "hit_key"])
-    keyed = docs.withColumn("hit_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["hit_doc"]) & (F.col("hit_text_key") == F.col("hit_key")), "left")
+    """docs with every reported span of text replaced by `mask`, columns as before; overlapping spans are replaced together.
+
+    Rows without spans, null and empty texts among them, stay as they are. Rows that share an id are told apart by their texts.
+    """
+    key, doc, hit, found = runtime.fresh(docs, "text_key", "hit_doc", "hit_key", "hit_spans")
+    hits = scan(docs.select("doc_id", "text"), reach=reach).where("size(found) > 0").select(F.col("doc_id").alias(doc), F.col("key").alias(hit), F.col("found").alias(found)).dropDuplicates([doc, hit])
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(hit)), "left")
+    # spans that touch or overlap become one; pieces of text and masks are laid end to end once
+    united = f"""
+    aggregate(array_sort({found}), CAST(array() AS ARRAY<STRUCT<start: INT, past: INT> >),
+      (a, x) -> CASE WHEN size(a) > 0 AND x.start < a[size(a) - 1].past
+                     THEN concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].start AS start, greatest(a[size(a) - 1].past, x.past) AS past)))
+                     ELSE concat(a, array(struct(x.start AS start, x.past AS past))) END)"""
     rebuilt = f"""
-    aggregate(array_sort(found), struct(0 AS at, '' AS done),
-      (a, x) -> struct(greatest(a.at, x.past) AS at,
-                       CASE WHEN x.start < a.at AND a.at > 0 THEN a.done ELSE concat(a.done, substring(text, a.at + 1, x.start - a.at), '{mask}') END AS done),
-      a -> concat(a.done, substring(text, a.at + 1)))"""
-    return joined.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(F.expr(rebuilt))).select(docs.columns)
+    transform(array({united}), u -> concat(
+      array_join(transform(u, (x, i) -> concat(substring(text, IF(i = 0, 0, u[i - 1].past) + 1, x.start - IF(i = 0, 0, u[i - 1].past)), '{mask}')), ''),
+      substring(text, u[size(u) - 1].past + 1)))[0]"""
+    return joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(F.expr(rebuilt))).select(docs.columns)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
