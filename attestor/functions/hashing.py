@@ -16,12 +16,12 @@ from pyspark.sql.types import StringType
 @F.pandas_udf(StringType())
 def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+        yield pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in s], dtype=object)
 
 
 def nfc(text: Column) -> Column:
-    """Spark has no NFC; ASCII text skips the Python worker's answer."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfc(text))
+    """Spark has no NFC. A text of ASCII alone is sent to the Python worker as null, so only the others travel."""
+    return F.coalesce(_nfc(F.when(F.octet_length(text) != F.length(text), text)), text)
 
 
 def normalise_text(text: Column) -> Column:
@@ -61,10 +61,17 @@ def cache_key(backend: Column, model_version: Column, item: Column, code_id: Col
 
 
 def corpus_hash(hashes: DataFrame, column: str = "item_hash") -> DataFrame:
-    """One row: sha256 over the sorted hashes, repeats kept. 64 bytes an item come together, as the format asks."""
-    ordered = F.array_sort(F.collect_list(column))
-    body = F.array_join(F.transform(ordered, lambda h: F.concat(F.octet_length(h).cast("string"), F.lit(":"), h)), "")
-    return hashes.agg(F.sha2(F.concat(F.lit("6:corpus"), body), 256).alias("corpus_hash"))
+    """One row: sha256 over the sorted hashes, repeats kept.
+
+    The hash runs over one stream, as the format asks. The rows are sorted by ranges on the executors, each range joined
+    to lines there, and the driver takes in one range after another, so that no task and no row holds them all.
+    """
+    spark = hashes.sparkSession
+    of = F.concat(F.octet_length(column).cast("string"), F.lit(":"), F.col(column))
+    digest = hashlib.sha256(b"6:corpus")
+    for row in hashes.where(F.col(column).isNotNull()).orderBy(column).select(of.alias("h")).toLocalIterator(prefetchPartitions=True):
+        digest.update(row["h"].encode())
+    return spark.createDataFrame([(digest.hexdigest(),)], "corpus_hash string")
 
 
 def file_hash(spark, path: str) -> str:

@@ -16,11 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BackendError
-from ..functions.hashing import cache_key
+from ..functions.hashing import cache_key, estimate_tokens
+from ..functions.stats import valid_probability
 from .units import build_units, distinct_texts, pool_scores
 
+#: Answers that are worth another try, and the service's budgets for a call and for its questions.
 RETRIED = frozenset({408, 409, 425, 429, 500, 502, 503, 504})
 STATE_TOKENS, QUESTION_TOKENS = 64_000, 32_000
+#: Seconds until a silent service counts as failed; distinct texts that one task scores.
+TIMEOUT, TEXTS_A_TASK = 120, 2_000
+SCORED = "text_hash string, code_id string, scored double, input_tokens long, model string, error string"
 CACHE_SCHEMA = "key string, probability double, created_at timestamp, input_tokens long"
 
 
@@ -36,19 +41,19 @@ class Question:
         return len(" ".join((self.definition, *self.yes, *self.no))) // 4 + 1
 
 
-def split_codes(text: str, codes: Sequence[Question], budget: int = STATE_TOKENS) -> list[list[Question]]:
-    """Runs of codes whose questions fit the budget beside the text; a text over the budget goes with one code at a time."""
+def split_codes(text: str, codes: Sequence[Question], budget: int = STATE_TOKENS, questions: int = QUESTION_TOKENS) -> list[list[Question]]:
+    """Runs of codes whose questions fit both budgets, with the text the first; a text over it goes with one code at a time."""
     base = len(text) // 4 + 1
     if base >= budget:
         return [[c] for c in codes]
     runs: list[list[Question]] = []
-    used = budget
+    room = 0
     for c in codes:
-        if used + c.tokens > budget or not runs:
+        if c.tokens > room or not runs:
             runs.append([])
-            used = base
+            room = min(budget - base, questions)
         runs[-1].append(c)
-        used += c.tokens
+        room -= c.tokens
     return runs
 
 
@@ -61,9 +66,10 @@ def checked(value: object, code_id: str) -> float | None:
     return float(value)
 
 
-def post_json(url: str, payload: dict, *, headers: dict | None = None, retries: int = 5, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None, opener: Callable = urllib.request.urlopen) -> dict:
+def post_json(url: str, payload: dict, *, headers: dict | None = None, retries: int = 5, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None, opener: Callable | None = None) -> dict:
     """POST with retries: backoff doubles from half a second to thirty, or as Retry-After says, times 0.5 to 1.5."""
     rng, data = rng or random.Random(), json.dumps(payload).encode()
+    opener = opener or (lambda request: urllib.request.urlopen(request, timeout=TIMEOUT))
     for attempt in range(retries + 1):
         wait = min(30.0, 0.5 * 2**attempt)
         try:
@@ -83,27 +89,49 @@ def post_json(url: str, payload: dict, *, headers: dict | None = None, retries:
 
 @dataclass
 class Backend:
-    """text x codes -> probability of each code. A batch that breaks yields nulls; a BackendError stops the run."""
+    """text x codes -> probability of each code. A batch that breaks yields nulls with the error's name; a BackendError stops the run."""
 
     name: str = "backend"
     model_version: str = "unknown"
     prices: tuple[float, float] | None = None
+    retries: int = 5
 
     def batch(self, text: str, codes: list[Question]) -> dict[str, float | None]:
         raise NotImplementedError
 
-    def score(self, text: str, codes: Sequence[Question]) -> dict[str, float | None]:
-        found: dict[str, float | None] = {c.code_id: None for c in codes}
+    def answers(self, text: str, codes: Sequence[Question]) -> dict[str, tuple[float | None, str | None]]:
+        """Probability and error of every code; an answer without a code is an error too."""
+        found: dict[str, tuple[float | None, str | None]] = {}
         for run in split_codes(text, codes):
             try:
                 got = self.batch(text, run)
             except BackendError:
                 raise
-            except Exception:  # noqa: BLE001 - one bad answer must not lose the run
+            except Exception as e:  # noqa: BLE001 - one bad answer must not lose the run; what broke is reported
+                found |= {c.code_id: (None, type(e).__name__) for c in run}
                 continue
-            found |= {c.code_id: checked(got.get(c.code_id), c.code_id) for c in run}
+            for c in run:
+                p = checked(got.get(c.code_id), c.code_id)
+                found[c.code_id] = (p, None if p is not None else "no answer")
         return found
 
+    def score(self, text: str, codes: Sequence[Question]) -> dict[str, float | None]:
+        return {c: p for c, (p, _) in self.answers(text, codes).items()}
+
+    def scored(self, texts: DataFrame, codes: list[Question], tasks: int) -> DataFrame:
+        """SCORED rows for texts(text_hash, text, code_ids)."""
+        held = {c.code_id: c for c in codes}
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                rows = []
+                for h, text, ids in zip(frame["text_hash"], frame["text"], frame["code_ids"], strict=True):
+                    for code, (p, error) in self.answers(text, [held[i] for i in sorted(ids)]).items():
+                        rows.append((h, code, p, len(text) // 4 + 1, self.model_version, error))
+                yield pd.DataFrame(rows, columns=["text_hash", "code_id", "scored", "input_tokens", "model", "error"])
+
+        return texts.repartition(tasks).mapInPandas(ask, SCORED)
+
 
 @dataclass
 class CallableBackend(Backend):
@@ -111,6 +139,10 @@ class CallableBackend(Backend):
 
     function: Callable[[str, str], float | None] | None = None
 
+    def __post_init__(self) -> None:
+        if self.function is None:
+            raise BackendError(f"{self.name}: a function is needed")
+
     def batch(self, text: str, codes: list[Question]) -> dict[str, float | None]:
         return {c.code_id: self.function(text, c.code_id) for c in codes}
 
@@ -128,6 +160,28 @@ def prompt(text: str, codes: Sequence[Question]) -> str:
     return f'Judge the text between the marks by each category.\n{instructions(codes)}\nAnswer with a JSON object of true or false by category.\n<<<\n{text}\n>>>'
 
 
+@dataclass
+class RecordedBackend(Backend):
+    """Replays a table recorded(item_hash, code_id, probability) by a join; text_hash stands for item_hash. A cell without an answer is an error or, if lenient, null."""
+
+    name: str = "recorded"
+    recorded: DataFrame | None = None
+    strict: bool = True
+
+    def __post_init__(self) -> None:
+        if self.recorded is None:
+            raise BackendError("recorded: a table of recorded answers is needed", hint="name its file in settings (backend.endpoint) or by --recorded")
+
+    def scored(self, texts: DataFrame, codes: list[Question], tasks: int) -> DataFrame:
+        cells = texts.select("text_hash", F.explode("code_ids").alias("code_id"), estimate_tokens(F.col("text")).alias("input_tokens"))
+        known = self.recorded.select(F.col("item_hash").alias("text_hash"), "code_id", "probability")
+        met = cells.join(known, ["text_hash", "code_id"], "left")
+        p = F.col("probability")
+        if self.strict:
+            p = F.when(p.isNull(), F.raise_error(F.concat(F.lit("no recorded answer for "), "text_hash", F.lit(" / "), "code_id")).cast("double")).otherwise(p)
+        return met.select("text_hash", "code_id", valid_probability(p, F.col("code_id")).alias("scored"), "input_tokens", F.lit(self.model_version).alias("model"), F.when(F.col("probability").isNull(), "no answer").alias("error"))
+
+
 @dataclass
 class HostedBackend(Backend):
     """A calibrated service: one call, a question a code, probabilities back."""
@@ -137,9 +191,12 @@ class HostedBackend(Backend):
 
     def batch(self, text: str, codes: list[Question]) -> dict[str, float | None]:
         body = {"input": text, "questions": {c.code_id: instructions([c]) for c in codes}}
-        answer = post_json(self.url, body, headers={"Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"})
+        answer = post_json(self.url, body, headers={"Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}, retries=self.retries)
+        given = answer.get("answers") if isinstance(answer, dict) else None
+        if not isinstance(given, dict) or not all(isinstance(given.get(c.code_id), dict) and "probability" in given[c.code_id] for c in codes):
+            raise BackendError(f"{self.name}: an answer lacks a probability")
         self.model_version = answer.get("model", self.model_version)
-        return {c.code_id: answer["answers"][c.code_id]["probability"] for c in codes}
+        return {c.code_id: given[c.code_id]["probability"] for c in codes}
 
 
 @dataclass
@@ -162,7 +219,7 @@ class ChatBackend(Backend):
             body["max_tokens"] = 1024
         elif logprobs:
             body["logprobs"] = True
-        return post_json(self.url, body, headers=headers)
+        return post_json(self.url, body, headers=headers, retries=self.retries)
 
     @staticmethod
     def decisions(content: str, codes: Sequence[Question]) -> dict[str, bool | None]:
@@ -209,7 +266,7 @@ REGISTRY: dict[str, tuple[Callable[..., Backend], str]] = {
     "chat": (ChatBackend, "Texts leave this machine for the configured service."),
     "messages": (lambda **o: ChatBackend(style="messages", **o), "Texts leave this machine for the configured service."),
     "local": (lambda **o: ChatBackend(**{"url": "http://localhost:8080/v1/chat/completions", **o}), "Texts stay on this machine."),
-    "recorded": (CallableBackend, "Texts stay here; answers are replayed."),
+    "recorded": (RecordedBackend, "Texts stay here; answers are replayed."),
 }
 
 
@@ -220,7 +277,7 @@ def available() -> list[str]:
 def backend(name: str, **options) -> Backend:
     if name not in REGISTRY:
         raise BackendError(f"unknown backend {name!r}; one of {', '.join(available())}")
-    return REGISTRY[name][0](name=name, **options)
+    return REGISTRY[name][0](**{"name": name, **options})
 
 
 def replay(units_or_items: DataFrame, codes: DataFrame, recorded: DataFrame, *, strict: bool = True) -> DataFrame:
@@ -234,15 +291,24 @@ def replay(units_or_items: DataFrame, codes: DataFrame, recorded: DataFrame, *,
 
 @dataclass
 class Run:
+    """scores(item_id, code_id, probability), the items with a null among them, the new cache, and what the run did.
+
+    stats: one row with lookups, hits, misses, hit_rate. usage: one row with the texts and cells scored, failed cells and
+    input tokens. errors and models: how many cells each error and each answering model had.
+    """
+
     scores: DataFrame
     failures: DataFrame
     cache: DataFrame
-    stats: dict = field(default_factory=dict)
+    stats: DataFrame
+    usage: DataFrame
+    errors: DataFrame
+    models: DataFrame
 
 
 def lookups(units: DataFrame, codes: DataFrame, cache: DataFrame, backend_name: str, model_version: str) -> DataFrame:
-    """Every (unit, code) with its cache key and the cached probability, null on a miss."""
-    cells = units.crossJoin(F.broadcast(codes.select("code_id", "code_hash")))
+    """Every (unit, code) with its cache key and the cached probability, null on a miss. Texts stay behind."""
+    cells = units.drop("text").crossJoin(F.broadcast(codes.select("code_id", "code_hash")))
     keyed = cells.withColumn("key", cache_key(F.lit(backend_name), F.lit(model_version), F.col("text_hash"), F.col("code_id"), F.col("code_hash")))
     return keyed.join(cache.select("key", F.col("probability").alias("cached")), "key", "left")
 
@@ -255,34 +321,41 @@ def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def cache_stats(looked: DataFrame) -> DataFrame:
-    n, hit = F.count("*"), F.count("cached")
+    """Over rows of lookups; a column `units` tells how many cells a row stands for."""
+    each = F.col("units") if "units" in looked.columns else F.lit(1)
+    n, hit = F.coalesce(F.sum(each), F.lit(0)), F.coalesce(F.sum(F.when(F.col("cached").isNotNull(), each)), F.lit(0))
     return looked.agg(n.alias("lookups"), hit.alias("hits"), (n - hit).alias("misses"), F.when(n > 0, hit / n).otherwise(0.0).alias("hit_rate"))
 
 
-def run(spark: SparkSession, items: DataFrame, codes: DataFrame, scorer: Backend, cache: DataFrame, *, max_tokens: int = 28_000, overlap_tokens: int = 200, rule: str = "max", concurrency: int = 16, written: Callable[[DataFrame, str], DataFrame] | None = None) -> Run:
-    """Score items x codes: probe the cache, score each distinct missed text once, fan out, pool passages.
+def merged(older: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Scores of a partial run over those of an earlier one: new cells win, all others stay."""
+    columns = ["item_id", "code_id", "probability"]
+    return older.join(fresh.select("item_id", "code_id"), ["item_id", "code_id"], "left_anti").select(columns).unionByName(fresh.select(columns))
+
+
+def failed(scores: DataFrame) -> DataFrame:
+    return scores.where("probability is null").select("item_id").distinct()
+
+
+def run(spark: SparkSession, items: DataFrame, codes: DataFrame, scorer: Backend, cache: DataFrame, *, written: Callable[[DataFrame, str], DataFrame], max_tokens: int = 28_000, overlap_tokens: int = 200, rule: str = "max", concurrency: int = 16) -> Run:
+    """Score items x codes: probe the cache by text hash, score each distinct missed text once, fan out, pool passages.
 
-    `written` stores the scored misses before anything reads them, so that no retry bills a text twice.
+    `written` stores a table where every executor sees it and reads it back. The lookups and the scored misses are
+    stored before anything reads them, so that no retry bills a text twice.
     """
     units = build_units(items, max_tokens=max_tokens, overlap_tokens=overlap_tokens)
-    looked = lookups(units, codes, cache, scorer.name, scorer.model_version)
-    missed = looked.where("cached is null")
-    texts = distinct_texts(missed.select("text_hash", "text", "item_id", "unit_index")).join(missed.groupBy("text_hash").agg(F.collect_set("code_id").alias("code_ids")), "text_hash")
-    held = {r["code_id"]: Question(r["code_id"], r["definition"], tuple(r["examples_yes"] or ()), tuple(r["examples_no"] or ())) for r in codes.collect()}
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for h, text, ids in zip(frame["text_hash"], frame["text"], frame["code_ids"], strict=True):
-                for code, p in scorer.score(text, [held[i] for i in sorted(ids)]).items():
-                    rows.append((h, code, p, len(text) // 4 + 1))
-            yield pd.DataFrame(rows, columns=["text_hash", "code_id", "scored", "input_tokens"])
-
-    scored = texts.repartition(concurrency).mapInPandas(ask, "text_hash string, code_id string, scored double, input_tokens long")
-    scored = written(scored, "scored") if written else scored.cache()
-    met = looked.join(scored, ["text_hash", "code_id"], "left")
-    passages = met.select("item_id", "unit_index", "code_id", F.coalesce("cached", "scored").alias("probability"))
+    placed = written(units.select("item_id", "unit_index", "text_hash"), "units")
+    hashes = placed.groupBy("text_hash").agg(F.count("*").alias("units"))
+    looked = written(lookups(hashes, codes, cache, scorer.name, scorer.model_version).select("text_hash", "code_id", "key", "cached", "units"), "lookups")
+    missed = looked.where("cached is null").groupBy("text_hash").agg(F.collect_set("code_id").alias("code_ids"))
+    texts = distinct_texts(units.join(missed.select("text_hash"), "text_hash", "left_semi")).join(missed, "text_hash")
+    asked = [Question(r["code_id"], r["definition"], tuple(r["examples_yes"] or ()), tuple(r["examples_no"] or ())) for r in codes.collect()]
+    scored = written(scorer.scored(texts, asked, max(concurrency, missed.count() // TEXTS_A_TASK)), "scored")
+
+    known = looked.join(scored.select("text_hash", "code_id", "scored", "input_tokens"), ["text_hash", "code_id"], "left")
+    passages = placed.join(known.select("text_hash", "code_id", F.coalesce("cached", "scored").alias("probability")), "text_hash")
     scores = pool_scores(passages, rule)
-    fresh = met.where("cached is null and scored is not null").select("key", F.col("scored").alias("probability"), F.current_timestamp().alias("created_at"), "input_tokens").dropDuplicates(["key"])
-    failures = scores.where("probability is null").select("item_id").distinct()
-    return Run(scores, failures, upsert(cache, fresh))
+    fresh = known.where("cached is null and scored is not null").select("key", F.col("scored").alias("probability"), F.current_timestamp().alias("created_at"), "input_tokens")
+    usage = scored.agg(F.count_distinct("text_hash").alias("texts"), F.count("*").alias("cells"), F.count_if(F.col("scored").isNull()).alias("failed"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"))
+    by = lambda c: scored.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("cells"))
+    return Run(scores, failed(scores), upsert(cache, fresh), cache_stats(looked), usage, by("error"), by("model"))

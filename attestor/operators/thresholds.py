@@ -69,8 +69,9 @@ def candidates(gs: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, bands
     return made.withColumn("valid", F.col("pos_passed") & F.col("neg_passed"))
 
 
-def fit(gs: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, bands: DataFrame | None = None, min_positives: int = MIN_POSITIVES) -> DataFrame:
-    """One row a code: the widest valid band (t_lo, t_hi, coverage) or the reason there is none.
+def fit(gs: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, bands: DataFrame | None = None, min_positives: int = MIN_POSITIVES, codes: DataFrame | None = None) -> DataFrame:
+    """One row a code: the widest valid band (t_lo, t_hi, coverage) or the reason there is none. A code of
+    codes(code_id) without any row in gs has insufficient evidence.
 
     Largest coverage wins, ties go to the wider band. Fewer than `min_positives` raw positives: no test is made.
     """
@@ -80,6 +81,8 @@ def fit(gs: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, bands: DataF
     )
     cand = candidates(gs, alpha=alpha, delta=delta, bands=bands)
     best = cand.where("valid").groupBy("code_id").agg(F.max_by(F.struct("t_lo", "t_hi", "coverage", "band_width", "delta_share"), F.struct("coverage", "band_width")).alias("best"))
+    if codes is not None:
+        counts = F.broadcast(codes.select("code_id").distinct()).join(counts, "code_id", "left").withColumns({"n_gold": F.coalesce("n_gold", F.lit(0)), "n_gold_positive": F.coalesce("n_gold_positive", F.lit(0)), "exact": F.coalesce("exact", F.lit(True))})
     enough = F.col("n_gold_positive") >= min_positives
     best_of = lambda c: F.when(enough, F.col(f"best.{c}")).alias(c)
     verdict = F.when(~enough, INSUFFICIENT).when(F.col("best").isNull(), NOT_AUTOMATABLE).otherwise(OK)

@@ -56,9 +56,13 @@ def held_out(gs: DataFrame, fitted: DataFrame) -> DataFrame:
     return made.select("code_id", F.coalesce("n_test", F.lit(0)).alias("n_test"), F.coalesce("n_test_positive", F.lit(0)).alias("n_test_positive"), F.when(F.col("t_hi").isNotNull() & enough, F.col("k")).alias("kappa"), reason.alias("kappa_reason"), "test_coverage")
 
 
-def certify(gs: DataFrame, *, alpha: float, delta: float = 0.05, bands: DataFrame | None = None) -> DataFrame:
-    """One row a code: fitted on calibration rows alone, graded on test rows."""
-    fitted = thresholds.fit(gs.where(F.col("split") == CALIBRATION), alpha=alpha, delta=delta, bands=bands)
+def certify(gs: DataFrame, *, alpha: float, delta: float = 0.05, bands: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """One row a code, of codes(code_id) or of those that gs has: fitted on calibration rows alone, graded on test rows.
+
+    gs is read once for all branches: gold labels and their probabilities, no texts.
+    """
+    gs = gs.cache()
+    fitted = thresholds.fit(gs.where(F.col("split") == CALIBRATION), alpha=alpha, delta=delta, bands=bands, codes=gs.select("code_id").distinct() if codes is None else codes)
     test = held_out(gs.where(F.col("split") == TEST), fitted)
     graded = thresholds.grade(fitted, test.select("code_id", "kappa"))
     return graded.join(test.drop("kappa"), "code_id", "left")
@@ -71,24 +75,54 @@ def human_ceiling(gold: DataFrame) -> DataFrame:
     return made.select("code_id", "n", stats.kappa().alias("human_kappa"), stats.krippendorff().alias("human_alpha"))
 
 
-def run_check(gold: DataFrame, scores: DataFrame, *, alpha: float, delta: float = 0.05, coder: str | None = None, bands: DataFrame | None = None) -> DataFrame:
-    """The whole check: certification, realised risks, Brier score, calibration error, human ceiling and advice, a row a code."""
+def run_check(gold: DataFrame, scores: DataFrame, *, alpha: float, delta: float = 0.05, coder: str | None = None, bands: DataFrame | None = None, codes: DataFrame | None = None, resamples: int = 0, seed: int = 42) -> DataFrame:
+    """The whole check, a row for every code of codes(code_id) or, without it, of gold: certification, realised risks, Brier
+    score, calibration error, human ceiling, with `resamples` the interval of kappa, and advice."""
     coder = coder or (gold_ops.primary_coder(gold).first() or [None])[0]
     gs = gold_scores(gold_ops.labels_for(gold, coder=coder), scores).cache()
-    checked = certify(gs, alpha=alpha, delta=delta, bands=bands)
+    checked = certify(gs, alpha=alpha, delta=delta, bands=bands, codes=gold.select("code_id").distinct() if codes is None else codes)
     test = gs.where(F.col("split") == TEST)
     parts = [thresholds.realised_risk(test, checked), stats.brier(test, "code_id").drop("n"), stats.calibration_error(test, "code_id"), human_ceiling(gold).drop("n")]
+    if resamples:
+        met = test.join(F.broadcast(checked.where("t_hi is not null").select("code_id", "t_lo", "t_hi")), "code_id")
+        final = met.select("code_id", "item_id", "g", F.when(thresholds.accepted(), thresholds.decide()).otherwise(F.col("g")).alias("d"), "w")
+        parts.append(selective.bootstrap(final, n_resamples=resamples, seed=seed).select("code_id", F.col("lo").alias("kappa_lo"), F.col("hi").alias("kappa_hi")))
     for p in parts:
         checked = checked.join(F.broadcast(p), "code_id", "left")
     return checked.withColumn("advice", advice(alpha, delta))
 
 
+def curves(gold: DataFrame, scores: DataFrame, *, seed: int = 42, n_resamples: int = 100) -> dict[str, DataFrame]:
+    """selective, labour and baseline curves of every code on held-out gold; the baseline checks the same shares at random."""
+    coder = (gold_ops.primary_coder(gold).first() or [None])[0]
+    test = gold_scores(gold_ops.labels_for(gold, split=TEST, coder=coder), scores).cache()
+    labour = selective.labour_curve(test).cache()
+    shares = labour.select("code_id", "point", F.col("labour").alias("fraction"))
+    return {
+        "selective": selective.selective_curve(test).orderBy("code_id", "band_id"),
+        "labour": labour.orderBy("code_id", "point"),
+        "baseline": selective.random_baseline(test, shares, n_resamples=n_resamples, seed=seed).orderBy("code_id", "point"),
+    }
+
+
+def furthest(labour: list[dict], baseline: list[dict], among: set[str]) -> str | None:
+    """The code, of those named, whose collected curve lies furthest above the random one."""
+    base = {(r["code_id"], r["point"]): r["kappa"] for r in baseline}
+    gains: dict[str, float] = {c: 0.0 for c in sorted(among)}
+    for r in labour:
+        low = base.get((r["code_id"], r["point"]))
+        if r["code_id"] in gains and r["kappa"] is not None and low is not None:
+            gains[r["code_id"]] += max(0.0, r["kappa"] - low)
+    return max(gains, key=gains.get) if gains else None
+
+
 def advice(alpha: float, delta: float):
     """A sentence on each refused code."""
     need = stats.minimum_accepted(alpha, delta / 2)
     return (
         F.when(F.col("verdict").isin("ok", "weak"), F.lit(None).cast("string"))
         .when(F.col("human_kappa") < thresholds.PUBLISHABLE, F.format_string("%s: coders disagree (kappa %.2f); sharpen the definition first", "code_id", "human_kappa"))
+        .when(F.col("n_gold") == 0, F.format_string("%s: no scored gold label yet", "code_id"))
         .when(F.col("reason") == "INSUFFICIENT_EVIDENCE", F.format_string("%s: too few positives among the gold labels (%d for fitting, %d held out)", "code_id", "n_gold_positive", "n_test_positive"))
         .when(F.col("reason") == "NO_VALID_THRESHOLD", F.format_string(f"%s: no band keeps both classes' errors within alpha; at least {need} accepted items of each class are needed", "code_id"))
         .otherwise(F.format_string("%s: held-out kappa %.2f is below the bar", "code_id", "kappa"))

@@ -9,7 +9,7 @@ from .functions import hashing, stats
 from .operators import coding, drift, gold, sampling, scoring, selective, splits, thresholds, units
 from .plans import check, demo
 from .queries_sql import SQL
-from .sources import corpus
+from .sources import corpus, scratch
 
 ALPHA = 0.20
 
@@ -260,7 +260,7 @@ def _run(spark, sf) -> scoring.Run:
     u = items.where("lang = 'en'").select(hashing.item_hash(F.col("text")).alias("text_hash")).distinct()
     keys = scoring.lookups(u, c, spark.createDataFrame([], scoring.CACHE_SCHEMA), scorer.name, scorer.model_version)
     cache = keys.select("key", F.lit(0.5).alias("probability"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(0).cast("long").alias("input_tokens"))
-    return scoring.run(spark, items, c, scorer, cache, max_tokens=1 << 28)
+    return scoring.run(spark, items, c, scorer, cache, written=scratch.written, max_tokens=1 << 28)
 
 
 def run_scores(spark, sf):

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ValidationError
+from ..errors import BackendError, ValidationError
 from ..operators.scoring import CACHE_SCHEMA
+from . import files
 
 GOLD = "seq long, item_id string, code_id string, label int, coder string, timestamp string, split string, stratum string, inclusion_probability double, model_visible boolean, sample_seed long"
 REVIEW = "seq long, item_id string, code_id string, label int, coder string, timestamp string, probability double, model_visible boolean"
@@ -22,12 +21,8 @@ def now() -> str:
 
 
 def new_run_id() -> str:
-    return datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Names sort by time; two runs of one second differ."""
+    return f"{datetime.now(UTC):%Y%m%dT%H%M%S%fZ}-{uuid.uuid4().hex[:6]}"
 
 
 class Log:
@@ -37,7 +32,7 @@ class Log:
         self.spark, self.path, self.schema = spark, path, schema
 
     def read(self) -> DataFrame:
-        if not _exists(self.spark, self.path):
+        if not files.exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).json(self.path, mode="FAILFAST")
 
@@ -52,7 +47,7 @@ class Log:
         rows.write.mode("append").json(self.path)
 
     def purge(self) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+        files.delete(self.spark, self.path)
 
 
 def gold_log(spark: SparkSession, path: str) -> Log:
@@ -66,12 +61,13 @@ def review_log(spark: SparkSession, path: str) -> Log:
 def save_splits(splits: DataFrame, path: str, *, seed: int, corpus_hash: str, fractions: dict) -> None:
     """Parquet of the assignment and a JSON note beside it."""
     splits.write.mode("overwrite").parquet(path)
-    counts = {r["split"]: r["count"] for r in splits.groupBy("split").count().collect()}
-    _save(path + ".json", {"version": 1, "seed": seed, "corpus_hash": corpus_hash, "created_at": now(), "fractions": fractions, "counts": counts})
+    spark = splits.sparkSession
+    counts = {r["split"]: r["count"] for r in spark.read.parquet(path).groupBy("split").count().collect()}
+    files.write_json(spark, path + ".json", {"version": 1, "seed": seed, "corpus_hash": corpus_hash, "created_at": now(), "fractions": fractions, "counts": counts})
 
 
 def load_splits(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    note = _load(path + ".json")
+    note = files.read_json(spark, path + ".json")
     splits = spark.read.parquet(path)
     if not {"item_id", "split"} <= set(splits.columns):
         raise ValidationError(f"{path} holds no split assignment")
@@ -83,62 +79,59 @@ def require_corpus(note: dict, corpus_hash: str) -> None:
         raise ValidationError("the corpus changed since it was split", hint="splits reset")
 
 
-def _save(path: str, body: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(body, f, indent=1, sort_keys=True, default=str)
-
-
-def _load(path: str) -> dict:
-    with open(path) as f:
-        body = json.load(f)
-    if body.get("version") != 1:
-        raise ValidationError(f"{path}: version 1 is required")
-    return body
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Whole versions of a table, oldest first: Spark marks a table once it is committed."""
+    return [f"{path}/{n}" for n in files.names(spark, path) if files.exists(spark, f"{path}/{n}/_SUCCESS")]
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CACHE_SCHEMA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], CACHE_SCHEMA)
+    held = _versions(spark, path)
+    return spark.read.schema(CACHE_SCHEMA).parquet(held[-1]) if held else spark.createDataFrame([], CACHE_SCHEMA)
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
-    """Rewrite beside the old one, then swap, as the new rows derive from the old."""
-    fresh = f"{path}.next"
-    cache.write.mode("overwrite").parquet(fresh)
-    shutil.rmtree(path, ignore_errors=True)
-    os.rename(fresh, path)
+    """A new version, which readers take once it is whole; only then the older ones go."""
+    spark = cache.sparkSession
+    cache.write.parquet(f"{path}/{new_run_id()}")
+    for old in _versions(spark, path)[:-1]:
+        files.delete(spark, old)
 
 
 def save_run(scores: DataFrame, failures: DataFrame, runs_dir: str, manifest: dict) -> str:
-    run = os.path.join(runs_dir, manifest["run_id"])
-    os.makedirs(run, exist_ok=True)
-    scores.write.mode("overwrite").parquet(os.path.join(run, "scores"))
+    run, spark = f"{runs_dir}/{manifest['run_id']}", scores.sparkSession
+    scores.write.mode("overwrite").parquet(f"{run}/scores")
     if not failures.isEmpty():
-        failures.write.mode("overwrite").parquet(os.path.join(run, "failures"))
-    _save(os.path.join(run, "manifest.json"), {"version": 1, **manifest})
+        failures.write.mode("overwrite").parquet(f"{run}/failures")
+    files.write_json(spark, f"{run}/manifest.json", {"version": 1, **manifest})
     return run
 
 
-def latest_run(runs_dir: str, purpose: str | None = None) -> str | None:
+def latest_run(spark: SparkSession, runs_dir: str, purpose: str | None = None) -> str | None:
     """The newest run by name; a manifest without purpose is a `run`."""
-    for name in sorted(os.listdir(runs_dir) if os.path.isdir(runs_dir) else [], reverse=True):
-        note = os.path.join(runs_dir, name, "manifest.json")
-        if os.path.exists(note) and (purpose is None or _load(note).get("purpose", "run") == purpose):
-            return os.path.join(runs_dir, name)
+    for name in reversed(files.names(spark, runs_dir)):
+        note = f"{runs_dir}/{name}/manifest.json"
+        if files.exists(spark, note) and (purpose is None or files.read_json(spark, note).get("purpose", "run") == purpose):
+            return f"{runs_dir}/{name}"
     return None
 
 
-def save_calibration(checks: DataFrame, path: str, note: dict) -> None:
-    _save(path, {"version": 1, "created_at": now(), **note, "codes": {r["code_id"]: r.asDict() for r in checks.collect()}})
+def save_calibration(checks: DataFrame, path: str, note: dict) -> list[dict]:
+    """One row a code reaches the driver and the file."""
+    rows = [r.asDict() for r in checks.collect()]
+    files.write_json(checks.sparkSession, path, {"version": 1, "created_at": now(), **note, "codes": {r["code_id"]: r for r in rows}})
+    return rows
 
 
 def load_calibration(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    note = _load(path)
+    note = files.read_json(spark, path)
     rows = [(k, v.get("t_lo"), v.get("t_hi"), v.get("verdict"), v.get("coverage"), v.get("kappa")) for k, v in note["codes"].items()]
     return spark.createDataFrame(rows, "code_id string, t_lo double, t_hi double, verdict string, coverage double, kappa double"), note
 
 
 def read_recorded(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """item_hash, code_id, probability and the model version from {model_version, probabilities: {hash: {code: p}}} or the bare table."""
+    if not files.exists(spark, path):
+        raise BackendError(f"no recorded probabilities at {path}")
     text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.get_json_object("value", "$.model_version").alias("model"), F.coalesce(F.get_json_object("value", "$.probabilities"), F.col("value")).alias("table"))
     table = F.from_json("table", "map<string, map<string, double>>")
