@@ -75,6 +75,13 @@ def human_ceiling(gold: DataFrame) -> DataFrame:
     return made.select("code_id", "n", stats.kappa().alias("human_kappa"), stats.krippendorff().alias("human_alpha"))
 
 
+def human_interval(gold: DataFrame, *, n_resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """95 % interval of the first two coders' kappa by code."""
+    pairs = gold_ops.double_coded(gold).select("code_id", "item_id", F.col("first").alias("g"), F.col("second").alias("d"), F.lit(1.0).alias("w"))
+    made = selective.bootstrap(pairs, n_resamples=n_resamples, seed=seed)
+    return made.select("code_id", F.col("lo").alias("human_lo"), F.col("hi").alias("human_hi"))
+
+
 def run_check(gold: DataFrame, scores: DataFrame, *, alpha: float, delta: float = 0.05, coder: str | None = None, bands: DataFrame | None = None, codes: DataFrame | None = None, resamples: int = 0, seed: int = 42) -> DataFrame:
     """The whole check, a row for every code of codes(code_id) or, without it, of gold: certification, realised risks, Brier
     score, calibration error, human ceiling, with `resamples` the interval of kappa, and advice."""
@@ -87,6 +94,7 @@ def run_check(gold: DataFrame, scores: DataFrame, *, alpha: float, delta: float
         met = test.join(F.broadcast(checked.where("t_hi is not null").select("code_id", "t_lo", "t_hi")), "code_id")
         final = met.select("code_id", "item_id", "g", F.when(thresholds.accepted(), thresholds.decide()).otherwise(F.col("g")).alias("d"), "w")
         parts.append(selective.bootstrap(final, n_resamples=resamples, seed=seed).select("code_id", F.col("lo").alias("kappa_lo"), F.col("hi").alias("kappa_hi")))
+        parts.append(human_interval(gold, n_resamples=resamples, seed=seed))
     for p in parts:
         checked = checked.join(F.broadcast(p), "code_id", "left")
     return checked.withColumn("advice", advice(alpha, delta))

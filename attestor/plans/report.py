@@ -38,7 +38,11 @@ def error_envelope(command: str, error: Exception) -> str:
 
 
 def decimate(points: Sequence[dict]) -> list[dict]:
-    return list(points[:: max(1, len(points) // 6)])
+    """About six points of each code's curve."""
+    of: dict[str, list[dict]] = {}
+    for p in points:
+        of.setdefault(p["code_id"], []).append(p)
+    return [p for rows in of.values() for p in rows[:: max(1, len(rows) // 6)]]
 
 
 def methods_paragraph(*, n_items: int, n_gold: int, alpha: float, delta: float, backend: str, model: str, n_codes: int, usable: int) -> str:

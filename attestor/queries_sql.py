@@ -80,23 +80,27 @@ def _fitted(source: str) -> tuple[str, ...]:
     return (
         *_candidates(source, 0.20),
         f"""counted AS (SELECT code_id, count(*) AS n_gold, CAST(sum(g) AS BIGINT) AS n_gold_positive, max(w) - min(w) <= 1e-8 + 1e-5 * abs(min(w)) AS exact FROM {source} WHERE split = 'calibration' GROUP BY code_id)""",
-        "best AS (SELECT code_id, arg_max(struct_pack(lo := t_lo, hi := t_hi, cov := coverage), (coverage, band_width)) AS best FROM cand WHERE valid GROUP BY code_id)",
-        """fitted AS (SELECT counted.*, CASE WHEN n_gold_positive >= 15 THEN best.lo END AS t_lo, CASE WHEN n_gold_positive >= 15 THEN best.hi END AS t_hi, CASE WHEN n_gold_positive >= 15 THEN best.cov END AS coverage,
+        "best AS (SELECT code_id, arg_max(struct_pack(lo := t_lo, hi := t_hi, cov := coverage, share := delta_share), (coverage, band_width)) AS best FROM cand WHERE valid GROUP BY code_id)",
+        """fitted AS (SELECT counted.*, CASE WHEN n_gold_positive >= 15 THEN best.lo END AS t_lo, CASE WHEN n_gold_positive >= 15 THEN best.hi END AS t_hi, CASE WHEN n_gold_positive >= 15 THEN best.cov END AS coverage, CASE WHEN n_gold_positive >= 15 THEN best.share END AS delta_share,
           CASE WHEN n_gold_positive < 15 THEN 'INSUFFICIENT_EVIDENCE' WHEN best IS NULL THEN 'NOT_AUTOMATABLE' ELSE 'ok' END AS verdict,
           CASE WHEN n_gold_positive < 15 THEN 'INSUFFICIENT_EVIDENCE' WHEN best IS NULL THEN 'NO_VALID_THRESHOLD' END AS reason FROM counted LEFT JOIN best USING (code_id))""",
     )
 
 
-_CERTIFIED = (
-    *_fitted("even"),
-    "tested AS (SELECT code_id, count(*) AS n_test, CAST(sum(g) AS BIGINT) AS n_test_positive FROM even WHERE split = 'test' GROUP BY code_id)",
-    f"final AS (SELECT e.code_id, {_cells(f'CASE WHEN {_ACC} THEN {_DEC} ELSE g END')} FROM even e JOIN fitted f ON e.code_id = f.code_id WHERE split = 'test' AND t_hi IS NOT NULL GROUP BY e.code_id)",
-    f"k AS (SELECT code_id, {KAPPA} AS k FROM final)",
-    """graded AS (SELECT f.code_id, n_gold, n_gold_positive, t_lo, t_hi, coverage, coalesce(n_test, 0) AS n_test, coalesce(n_test_positive, 0) AS n_test_positive, CASE WHEN n_test_positive >= 15 THEN k END AS kappa, verdict AS v, reason AS r
-      FROM fitted f LEFT JOIN tested USING (code_id) LEFT JOIN k USING (code_id))""",
-    """certified AS (SELECT * EXCLUDE (v, r), CASE WHEN v <> 'ok' THEN v WHEN kappa IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN kappa < 0.70::DOUBLE THEN 'NOT_AUTOMATABLE' WHEN kappa < 0.75::DOUBLE THEN 'weak' ELSE 'ok' END AS verdict,
-      CASE WHEN v <> 'ok' THEN r WHEN kappa IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN kappa < 0.70::DOUBLE THEN 'BELOW_PUBLICATION_BAR' END AS reason FROM graded)""",
-)
+def _certified(source: str) -> tuple[str, ...]:
+    return (
+        *_fitted(source),
+        f"tested AS (SELECT code_id, count(*) AS n_test, CAST(sum(g) AS BIGINT) AS n_test_positive FROM {source} WHERE split = 'test' GROUP BY code_id)",
+        f"final AS (SELECT e.code_id, {_cells(f'CASE WHEN {_ACC} THEN {_DEC} ELSE g END')} FROM {source} e JOIN fitted f ON e.code_id = f.code_id WHERE split = 'test' AND t_hi IS NOT NULL GROUP BY e.code_id)",
+        f"k AS (SELECT code_id, {KAPPA} AS k FROM final)",
+        """graded AS (SELECT f.code_id, n_gold, n_gold_positive, exact, delta_share, t_lo, t_hi, coverage, coalesce(n_test, 0) AS n_test, coalesce(n_test_positive, 0) AS n_test_positive, CASE WHEN n_test_positive >= 15 THEN k END AS kappa, verdict AS v, reason AS r
+          FROM fitted f LEFT JOIN tested USING (code_id) LEFT JOIN k USING (code_id))""",
+        """certified AS (SELECT * EXCLUDE (v, r), CASE WHEN v <> 'ok' THEN v WHEN kappa IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN kappa < 0.70::DOUBLE THEN 'NOT_AUTOMATABLE' WHEN kappa < 0.75::DOUBLE THEN 'weak' ELSE 'ok' END AS verdict,
+          CASE WHEN v <> 'ok' THEN r WHEN kappa IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN kappa < 0.70::DOUBLE THEN 'BELOW_PUBLICATION_BAR' END AS reason FROM graded)""",
+    )
+
+
+_CERTIFIED = _certified("even")
 
 _DECIDED = (
     "human AS (SELECT item_id, code_id, label AS human FROM records WHERE coder = 'coder_2' AND label = 1)",
@@ -126,13 +130,35 @@ _RAN = (
 
 _DRAWS = (
     "t AS (SELECT * FROM even WHERE split = 'test')",
-    "ranked AS (SELECT t.*, rep, row_number() OVER (PARTITION BY code_id, rep ORDER BY sha256('0:' || rep || ':' || code_id || ':' || item_id)) AS rank, count(*) OVER (PARTITION BY code_id, rep) AS n FROM t CROSS JOIN (SELECT range AS rep FROM range(0, 20)))",
+    "ranked AS (SELECT t.*, rep, row_number() OVER (PARTITION BY code_id, rep ORDER BY sha256('0:' || rep || ':' || code_id || ':' || item_id)) AS rank, count(*) OVER (PARTITION BY code_id, rep) AS n FROM t CROSS JOIN (SELECT range AS rep FROM range(0, 100)))",
     f"each AS (SELECT code_id, point, rep, {_cells('CASE WHEN rank <= round_even(point / 4.0::DOUBLE * n, 0) THEN g WHEN p >= 0.5 THEN 1 ELSE 0 END')} FROM ranked CROSS JOIN (SELECT CAST(range AS INTEGER) AS point FROM range(0, 5)) GROUP BY code_id, point, rep)",
     f"drawn AS (SELECT code_id, point, {KAPPA} AS kappa FROM each)",
     "baseline AS (SELECT code_id, point, point / 4.0::DOUBLE AS labour, 1 - point / 4.0::DOUBLE AS coverage, avg(kappa) AS kappa, quantile_cont(kappa, 0.025::DOUBLE) AS lo, quantile_cont(kappa, 0.975::DOUBLE) AS hi FROM drawn GROUP BY code_id, point)",
 )
 
 
+_PAIRS = "SELECT x.code_id, x.item_id, x.label AS f, y.label AS s FROM latest x JOIN latest y ON x.item_id = y.item_id AND x.code_id = y.code_id AND x.coder = 'coder_1' AND y.coder = 'coder_2'"
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' \n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _folded(pieces: str, glue: str, room: int, tail: str = "''") -> str:
+    """Pieces laid end to end with `glue` while a run keeps within `room`; a new run opens with `tail` of the one before."""
+    joined = f"a[len(a)] || {glue} || b[1]"
+    opened = f"CASE WHEN {tail} <> '' THEN {tail} || {glue} || b[1] ELSE b[1] END"
+    return f"list_reduce(list_transform({pieces}, lambda x: [x]), lambda a, b: CASE WHEN length({joined}) <= {room} THEN list_concat(a[1:len(a) - 1], [{joined}]) ELSE list_concat(a, [{opened}]) END)"
+
+
+#: A sentence over the room is wrapped at spaces; no word of the tables is longer than a passage.
+_RUNS = _folded("string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))", "' '", 4000)
+_CHUNKED = (
+    f"""pieces AS (SELECT item_id, t, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: trim(x, {_BLANK})), lambda x: x <> '') AS paragraphs FROM (SELECT item_id, trim(text, {_BLANK}) AS t FROM items WHERE text <> ''))""",
+    f"""sentences AS (SELECT item_id, t, flatten(list_transform(paragraphs, lambda p: CASE WHEN length(p) <= 4000 THEN [p] ELSE {_RUNS} END)) AS runs FROM pieces)""",
+    f"""fitting AS (SELECT item_id, t, flatten(list_transform(runs, lambda r: CASE WHEN length(r) <= 4000 THEN [r] ELSE {_folded("string_split(r, ' ')", "' '", 3999)} END)) AS pieces FROM sentences)""",
+    f"""chunked AS (SELECT item_id, CASE WHEN length(t) // 4 + 1 <= 1000 THEN [t] ELSE {_folded("pieces", "chr(10) || chr(10)", 4000, f"ltrim(a[len(a)][-80:], {_BLANK})")} END AS chunks FROM fitting)""",
+)
+
+
 def _labour(source: str, offset: float) -> tuple[str, ...]:
     return (
         "points AS (SELECT 0 AS point, NULL::DOUBLE AS t_lo, NULL::DOUBLE AS t_hi UNION ALL SELECT 15 - band_id, t_lo, t_hi FROM grid)",
@@ -179,7 +205,7 @@ SQL: dict[str, str] = {
     "bootstrap_interval": _with(
         f"SELECT code_id, count(kappa) AS defined, round(quantile_cont(kappa, 0.025::DOUBLE), 6) AS lo, round(quantile_cont(kappa, 0.975::DOUBLE), 6) AS hi FROM (SELECT code_id, rep, {KAPPA} AS kappa FROM (SELECT x.code_id, rep, {_cells('d')} FROM picks x JOIN n USING (code_id, g, slot) GROUP BY x.code_id, rep)) GROUP BY code_id".replace("FILTER (WHERE g =", "FILTER (WHERE x.g ="),
         "n AS (SELECT code_id, g, w, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS d, row_number() OVER (PARTITION BY code_id, g ORDER BY item_id) - 1 AS slot, count(*) OVER (PARTITION BY code_id, g) AS size FROM even WHERE split = 'test')",
-        "picks AS (SELECT code_id, g, rep, CAST('0x' || substr(sha256('0:' || rep || ':' || g || ':' || slot), 1, 8) AS BIGINT) % size AS slot FROM n CROSS JOIN (SELECT range AS rep FROM range(0, 200)))",
+        "picks AS (SELECT code_id, g, rep, CAST('0x' || substr(sha256('0:' || rep || ':' || g || ':' || slot), 1, 8) AS BIGINT) % size AS slot FROM n CROSS JOIN (SELECT range AS rep FROM range(0, 2000)))",
     ),
     "most_informative": _with("SELECT code_id, round(sum(greatest(0, coalesce(curve.kappa - baseline.kappa, 0))), 6) AS gain FROM curve JOIN baseline USING (code_id, point) GROUP BY code_id ORDER BY gain DESC, code_id LIMIT 1", *_DRAWS, *_labour("even", 0.0)),
     "gold_latest": _with("SELECT item_id, code_id, coder, label, seq FROM latest"),
@@ -206,7 +232,64 @@ SQL: dict[str, str] = {
     ),
     "abstentions": _with("SELECT item_id, code_id, probability, text FROM decided JOIN items USING (item_id) WHERE decided.source = 'abstain_unreviewed'", *_DECIDED),
     "review_queue": _with("SELECT item_id, code_id, probability FROM decided WHERE source = 'abstain_unreviewed' AND (item_id, code_id) NOT IN (SELECT (item_id, code_id) FROM records WHERE coder = 'coder_2') ORDER BY abs(CASE WHEN coalesce(probability, 0) = 0 THEN 0.5 ELSE probability END - 0.5) DESC, item_id, code_id LIMIT 25", *_DECIDED),
-    "code_drift": "SELECT * FROM (VALUES ('aaa', 'added'), ('bbb', 'same'), ('ccc', 'changed'), ('ddd', 'removed')) AS v(code_id, change)",
+    "code_drift": "SELECT 'item_' || item_id AS code_id, CASE WHEN length(text) >= 300 THEN 'removed' WHEN length(text) < 150 THEN 'added' WHEN contains(text, 'en') THEN 'changed' ELSE 'same' END AS change FROM benchmark",
+    "passages": _with("SELECT item_id, CAST(i - 1 AS INTEGER) AS unit_index, length(c) AS n_chars, sha256('4:item' || strlen(c) || ':' || c) AS text_hash FROM (SELECT item_id, unnest(chunks) AS c, unnest(range(1, len(chunks) + 1)) AS i FROM chunked)", *_CHUNKED),
+    "run_usage": _with(f"SELECT 2 * items AS lookups, 2 * early AS hits, 2 * (items - early) AS misses, round(early / items::DOUBLE, 6) AS hit_rate, texts, 2 * texts AS cells, broken AS failed, tokens AS input_tokens FROM (SELECT count(*) AS items, count(t) AS early FROM items LEFT JOIN early ON text = t WHERE text <> ''), (SELECT count(*) AS texts, count(*) FILTER (WHERE length(text) % 10 = 0) AS broken, CAST(coalesce(sum(2 * (length(text) // 4 + 1)), 0) AS BIGINT) AS tokens FROM (SELECT DISTINCT text FROM items WHERE text <> '' AND text NOT IN (SELECT t FROM early)))", *_RAN),
+    "retried_scores": _with("SELECT item_id, code_id, round(CASE WHEN early.t IS NOT NULL THEN 0.5::DOUBLE ELSE length(text) % 100 / 100.0::DOUBLE END, 6) AS probability FROM items CROSS JOIN codes LEFT JOIN early ON text = t WHERE text <> ''", _RAN[0]),
+    "saved_run": _with("SELECT item_id, code_id, round(p, 6) AS probability FROM scores"),
+    "saved_splits": _with("SELECT split, count(*) AS n, count(*) AS noted FROM splits GROUP BY split"),
+    "gold_log_read": _with("SELECT item_id, code_id, coder, label, split, pi AS inclusion_probability, seq FROM latest"),
+    "recorded_scores": _with("SELECT item_id, code_id, CASE WHEN code_id = 'toxic' THEN length(text) % 100 / 100.0::DOUBLE ELSE 0.75::DOUBLE END AS probability FROM items CROSS JOIN codes WHERE item_id IN (SELECT item_id FROM gold) AND text <> ''"),
+    "csv_items": f"SELECT CAST(doc_id AS VARCHAR) AS item_id, lang, source, sha256('4:item' || strlen(t) || ':' || t) AS item_hash FROM (SELECT *, {_NORMAL} AS t FROM documents)",
+    "tsv_items": f"SELECT CAST(doc_id AS VARCHAR) AS item_id, lang, source, sha256('4:item' || strlen(t) || ':' || t) AS item_hash FROM (SELECT *, {_NORMAL} AS t FROM documents)",
+    "jsonl_items": f"SELECT CAST(doc_id AS VARCHAR) AS item_id, lang, source, sha256('4:item' || strlen(t) || ':' || t) AS item_hash FROM (SELECT *, {_NORMAL} AS t FROM documents)",
+    "numbered_items": f"SELECT pos AS ord, 'row_' || lpad(CAST(pos AS VARCHAR), CAST(length(CAST(n AS VARCHAR)) AS INTEGER), '0') AS item_id, sha256('4:item' || strlen(t) || ':' || t) AS item_hash FROM (SELECT row_number() OVER () AS pos, count(*) OVER () AS n, {_NORMAL} AS t FROM documents)",
+    "labelled_items": _with("SELECT item_id FROM items WHERE item_id IN (SELECT item_id FROM gold)"),
+    "definitions": r"""
+      SELECT 'item_' || item_id AS code_id, d AS norm_definition, sha256('4:code' || strlen(d) || ':' || d || '3:yes2:no') AS code_hash, length(text) // 4 + 1 AS n_tokens,
+        len(list_filter(string_split(regexp_replace(d, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) > 2 OR length(d) > 400 AS advised
+      FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS d FROM benchmark)""",
+    "code_batches": _with("SELECT item_id, CASE WHEN base >= 2000 THEN 40 ELSE CAST(ceil(40.0 / greatest(1, least(2000 - base, 800) // 50)) AS BIGINT) END AS n_calls FROM (SELECT item_id, length(text) // 4 + 1 AS base FROM items)"),
+    "gold_scores": _with("SELECT code_id, item_id, split, round(p, 6) AS p, label AS g, 1.0::DOUBLE / pi AS w FROM latest JOIN scores USING (item_id, code_id) JOIN items USING (item_id) WHERE coder = 'coder_1' AND lang <> 'de'"),
+    "full_check": _with(
+        """SELECT c.code_id, coalesce(n_gold, 0) AS n_gold, coalesce(n_gold_positive, 0) AS n_gold_positive, coalesce(n_test, 0) AS n_test, round(t_lo, 6) AS t_lo, round(t_hi, 6) AS t_hi, round(coverage, 6) AS coverage, round(kappa, 6) AS kappa,
+          coalesce(verdict, 'INSUFFICIENT_EVIDENCE') AS verdict, CASE WHEN n_gold IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE reason END AS reason, round(positive_risk, 6) AS positive_risk, round(negative_risk, 6) AS negative_risk, round(brier, 6) AS brier, round(ece, 6) AS ece,
+          round(human_kappa, 6) AS human_kappa, round(human_alpha, 6) AS human_alpha,
+          CASE WHEN verdict IN ('ok', 'weak') THEN NULL WHEN human_kappa < 0.7::DOUBLE THEN printf('%s: coders disagree (kappa %.2f); sharpen the definition first', c.code_id, human_kappa)
+            WHEN n_gold IS NULL THEN c.code_id || ': no scored gold label yet'
+            WHEN reason = 'INSUFFICIENT_EVIDENCE' THEN printf('%s: too few positives among the gold labels (%d for fitting, %d held out)', c.code_id, n_gold_positive, n_test_positive)
+            WHEN reason = 'NO_VALID_THRESHOLD' THEN c.code_id || ': no band keeps both classes'' errors within alpha; at least 17 accepted items of each class are needed'
+            ELSE printf('%s: held-out kappa %.2f is below the bar', c.code_id, kappa) END AS advice
+        FROM (SELECT code_id FROM codes UNION ALL SELECT 'unjudged') c LEFT JOIN certified USING (code_id) LEFT JOIN risk USING (code_id) LEFT JOIN brier USING (code_id) LEFT JOIN ece USING (code_id) LEFT JOIN ceiling USING (code_id)""",
+        "judged AS (SELECT code_id, item_id, split, p, label AS g, 1.0::DOUBLE / pi AS w FROM latest JOIN scores USING (item_id, code_id) WHERE coder = 'coder_1')",
+        *_certified("judged"),
+        f"risk AS (SELECT code_id, sum(w * wrong) FILTER (WHERE g = 1) / sum(w) FILTER (WHERE g = 1) AS positive_risk, sum(w * wrong) FILTER (WHERE g = 0) / sum(w) FILTER (WHERE g = 0) AS negative_risk FROM (SELECT j.code_id, g, w, CASE WHEN ({_DEC}) <> g THEN 1.0::DOUBLE ELSE 0 END AS wrong FROM judged j JOIN certified b ON j.code_id = b.code_id WHERE split = 'test' AND {_ACC}) GROUP BY code_id)",
+        "brier AS (SELECT code_id, sum(w * (p - g) * (p - g)) / sum(w) AS brier FROM judged WHERE split = 'test' GROUP BY code_id)",
+        "ece AS (SELECT code_id, sum(gap) / sum(weight) AS ece FROM (SELECT code_id, sum(w) AS weight, abs(sum(p * w) - sum(g * w)) AS gap FROM judged WHERE split = 'test' GROUP BY code_id, greatest(0, least(9, floor(p * 10)))) GROUP BY code_id)",
+        f"ceiling AS (SELECT code_id, {KAPPA} AS human_kappa, {ALPHA} AS human_alpha FROM (SELECT code_id, {_cells('s', '1.0::DOUBLE', 'f')} FROM ({_PAIRS}) GROUP BY code_id))",
+    ),
+    "check_summary": _with("SELECT gold_n, double_coded, exact, round(delta_share, 6) AS delta_share FROM (SELECT count(DISTINCT item_id) AS gold_n, count(DISTINCT item_id) FILTER (WHERE coder <> (SELECT coder FROM records GROUP BY coder ORDER BY count(*) DESC, coder DESC LIMIT 1)) AS double_coded FROM records), (SELECT bool_and(exact) AS exact, max(delta_share) AS delta_share FROM certified)", *_CERTIFIED),
+    "certified_decisions": _with(f"""SELECT item_id, code_id, CASE WHEN usable THEN {_DEC} END AS label, p AS probability, CASE WHEN NOT usable THEN 'not_automatable' WHEN ({_DEC}) IS NULL THEN 'abstain_unreviewed' ELSE 'auto' END AS source
+      FROM scores LEFT JOIN (SELECT code_id, t_lo, t_hi, verdict IN ('ok', 'weak') AND t_hi IS NOT NULL AS usable FROM certified) USING (code_id)""", *_CERTIFIED),
+    "certified_risk": _with(f"SELECT code_id, round(sum(wrong) FILTER (WHERE g = 1) / count(*) FILTER (WHERE g = 1), 6) AS positive_risk, round(sum(wrong) FILTER (WHERE g = 0) / count(*) FILTER (WHERE g = 0), 6) AS negative_risk FROM (SELECT e.code_id, g, CASE WHEN ({_DEC}) <> g THEN 1.0::DOUBLE ELSE 0 END AS wrong FROM even e JOIN certified b ON e.code_id = b.code_id WHERE split = 'test' AND {_ACC}) GROUP BY code_id", *_CERTIFIED),
+    "comparison_kappas": _with("SELECT 'sharp' AS backend, 1.5::DOUBLE AS cost, code_id, round(kappa, 6) AS kappa FROM certified UNION ALL SELECT 'blunt', NULL, code_id, NULL FROM certified", *_CERTIFIED),
+    "human_interval": _with(
+        f"SELECT code_id, round(quantile_cont(kappa, 0.025::DOUBLE), 6) AS human_lo, round(quantile_cont(kappa, 0.975::DOUBLE), 6) AS human_hi FROM (SELECT code_id, rep, {KAPPA} AS kappa FROM (SELECT x.code_id, rep, {_cells('d', '1.0::DOUBLE')} FROM picks x JOIN n USING (code_id, g, slot) GROUP BY x.code_id, rep)) GROUP BY code_id".replace("FILTER (WHERE g =", "FILTER (WHERE x.g ="),
+        f"pairs AS ({_PAIRS})",
+        "n AS (SELECT code_id, f AS g, s AS d, row_number() OVER (PARTITION BY code_id, f ORDER BY item_id) - 1 AS slot, count(*) OVER (PARTITION BY code_id, f) AS size FROM pairs)",
+        "picks AS (SELECT code_id, g, rep, CAST('0x' || substr(sha256('42:' || rep || ':' || g || ':' || slot), 1, 8) AS BIGINT) % size AS slot FROM n CROSS JOIN (SELECT range AS rep FROM range(0, 2000)))",
+    ),
+    "gold_plan": _with(
+        "SELECT item_id, split, 'uniform' AS stratum, take / size::DOUBLE AS inclusion_probability FROM drawn WHERE rank <= take",
+        "drawn AS (SELECT item_id, split, row_number() OVER (PARTITION BY split ORDER BY sha256('7:' || split || ':uniform:' || item_id)) AS rank, count(*) OVER (PARTITION BY split) AS size, CASE split WHEN 'calibration' THEN 54 ELSE 67 END AS take FROM splits WHERE split <> 'dev')",
+    ),
+    "enrich_round": _with(
+        "SELECT item_id, 'calibration' AS split, 'enriched' AS stratum, round(least(1, base + (1 - base) * least(40, n) / n), 6) AS inclusion_probability FROM rest, (SELECT count(*) AS n FROM rest), (SELECT least(0.99::DOUBLE, 60.0::DOUBLE / count(*)) AS base FROM splits WHERE split = 'calibration') ORDER BY sha256('7:calibration:enriched:toxic:' || item_id) LIMIT 40",
+        _POOL, _UNIFORM, "rest AS (SELECT item_id FROM pool WHERE item_id NOT IN (SELECT item_id FROM uniform))",
+    ),
+    "curve_table": _with(f"SELECT code_id, band_id, round(coalesce(sum(w) FILTER (WHERE {_ACC}), 0) / sum(w), 6) AS coverage FROM gs CROSS JOIN grid WHERE split = 'test' AND band_id % 2 = 0 GROUP BY code_id, band_id"),
+    "logprob_probabilities": _with("SELECT item_id, code_id, round(least(1, exp(ln(p) + 0.05::DOUBLE)), 6) AS probability FROM scores"),
+    "valid_probabilities": _with("SELECT item_id, code_id, round(p, 6) AS probability FROM scores"),
     "distinct_texts": _with(f"SELECT {_HASH} AS text_hash, max(length(text)) AS n_chars, count(*) AS n_units FROM items GROUP BY text"),
     "pooled_scores": "SELECT CAST(conv_id AS VARCHAR) AS item_id, 'toxic' AS code_id, round(max(p), 6) AS largest, round(avg(p), 6) AS mean FROM (SELECT conv_id, CASE WHEN length(text) % 5 <> 0 THEN length(text) % 100 / 100.0::DOUBLE END AS p FROM conversations) GROUP BY conv_id",
     "run_scores": _with("SELECT item_id, code_id, round(probability, 6) AS probability FROM ran", *_RAN),
