@@ -277,17 +277,56 @@ def greedy(item, doc, shortest):
         total += n
 
 
-def test_op5_tiles_against_plain_greedy():
+def test_op5_tiles_are_the_plain_greedy_ones():
     rng = np.random.default_rng(4)
-    for _ in range(40):
-        item, doc = rng.integers(0, 3, 18), rng.integers(0, 3, 30)
-        tiles = decontaminate.tile(item, doc, 4)
-        assert sum(t[2] for t in tiles) >= 0.8 * greedy(item, doc, 4)
-        assert all((item[i : i + n] == doc[j : j + n]).all() and n >= 4 for i, j, n in tiles)
+    for k in range(1500):
+        item, doc = rng.integers(0, 2 + k % 3, rng.integers(1, 22)), rng.integers(0, 2 + k % 3, rng.integers(1, 34))
+        tiles = decontaminate.tile(item, doc, 2 + k % 4)
+        assert sum(t[2] for t in tiles) == greedy(item, doc, 2 + k % 4)
+        assert all((item[i : i + n] == doc[j : j + n]).all() for i, j, n in tiles)
         used = [x for i, _, n in tiles for x in range(i, i + n)]
         assert len(used) == len(set(used))
 
 
+def test_op5_against_brute_force(spark, docs, by_id):
+    rng = random.Random(12)
+    pool = [f"W{i}" for i in range(12)]
+    items = {k: " ".join(rng.choices(pool, k=rng.randint(1, 25))) for k in range(25)} | {90: "same words again", 91: "same words again", 92: "...", 93: " the the the the the the"}
+    made = {5000 + k: " ".join(rng.choices([x + rng.choice(",.;") for x in pool] + pool, k=rng.randint(0, 60))) for k in range(60)}
+    made |= {6000 + k: f"{rng.choice(list(by_id.values())[:20])} {t.lower()} tail" for k, t in items.items()}
+    made |= {7000: "the " * 3000, 7001: f"{items[3]}-{items[4]}", 7002: None}
+    bench = spark.createDataFrame([*items.items(), (None, items[2]), (94, None), (5, items[5])], "item_id long, text string")
+    extra = spark.createDataFrame([*made.items(), (7001, made[7001])], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(extra).selectExpr("*", "'x' AS item", "1 AS seed", "2 AS tkey", "3 AS bad_doc")
+    got = decontaminate.leaks(every, bench).collect()
+    leaked = {r["doc_id"] for r in got}
+    clean = decontaminate.without_leaks(every, bench)
+    assert clean.columns == every.columns and sorted(r["doc_id"] for r in clean.collect()) == sorted(r["doc_id"] for r in every.collect() if r["doc_id"] not in leaked)
+    want = {}
+    listed = [(k, t) for k, t in items.items()] + [(None, items[2])]
+    for d, t in {**by_id, **made}.items():
+        w = decontaminate.words(t)
+        for k, x in listed:
+            own = decontaminate.words(x)
+            shortest = min(5, len(own))
+            if own and (covered := greedy_runs(own, w, shortest)) >= 0.8 * len(own):
+                want[d, k] = covered
+    assert {(r["doc_id"], r["item_id"]): r["covered"] for r in got} == want and len(got) == len(want) > 30
+
+
+def greedy_runs(item, doc, shortest):
+    """Plain greedy over the stretches of doc that share a seed with the item; others cannot be tiled."""
+    seeds = {tuple(item[i : i + shortest]) for i in range(len(item) - shortest + 1)}
+    keep = sorted({p for j in range(len(doc) - shortest + 1) if tuple(doc[j : j + shortest]) in seeds for p in range(j, j + shortest)})
+    near, last = [], -2
+    for p in keep:
+        near += [b"", doc[p]] if p != last + 1 else [doc[p]]
+        last = p
+    if len(near) > 1000:  # one word all along
+        return len(item) if len(item) >= shortest else 0
+    return greedy(item, near, shortest)
+
+
 @pytest.fixture(scope="module")
 def library_ids(by_id):
     from tokenizers import Tokenizer
