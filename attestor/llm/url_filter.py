@@ -18,8 +18,8 @@ from . import runtime
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 LISTED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org")
 BITS_A_KEY, HASHES = 6, 3
-#: Largest filter that is built (8 MB); a longer list is matched by a shuffled join instead.
-MAX_BITS = 1 << 26
+#: Largest filter that is built (half a megabyte, as it travels in the plan) and most levels; a list that needs more is matched by a shuffled join.
+MAX_BITS, MAX_LEVELS = 1 << 22, 40
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,10 +52,8 @@ class Bloom:
 
     @classmethod
     def build(cls, keys: DataFrame, level: int, n: int) -> Bloom:
-        """From keys(key), n of them; as many words reach the driver as the filter has, MAX_BITS / 64 at most."""
+        """From keys(key), n of them; as many words reach the driver as the filter has."""
         bits = 64 * (1 + n * BITS_A_KEY // 64)
-        if bits > MAX_BITS:
-            raise OverflowError(f"{n} keys need more than {MAX_BITS} bits")
         at = keys.select(F.explode(F.array(*[cls._bit(F.col("key"), level, i, bits) for i in range(HASHES)])).alias("at"))
         rows = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits")).collect()
         words = [0] * (bits // 64)
@@ -78,16 +76,19 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
-        """listed(key) against universe(key). Mistakes shrink from level to level, so few passes are made."""
+    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade | None:
+        """listed(key) against universe(key). Mistakes shrink from level to level, so few passes are made.
+
+        None if a filter would be too large, or two keys are hashed alike at every level.
+        """
         listed = listed.where("key is not null").distinct()
         inside, outside, levels = listed, universe.where("key is not null").join(listed, "key", "left_anti").distinct(), []
-        while (n := inside.count()) and len(levels) < 40:
+        while n := inside.count():
+            if n * BITS_A_KEY > MAX_BITS or len(levels) == MAX_LEVELS:
+                return None
             levels.append(Bloom.build(inside, len(levels), n))
             mistaken = runtime.written(outside.where(levels[-1].test(F.col("key"))), "mistaken")
             inside, outside = mistaken, inside
-        if n:
-            raise OverflowError("two keys are hashed alike at every level")
         return cls(levels)
 
     def contains(self, key: Column) -> Column:
@@ -98,42 +99,40 @@ class Cascade:
         return answer
 
 
-def _universe(pages: DataFrame, keys: str) -> DataFrame:
-    return pages.select(F.explode(keys).alias("key")).distinct()
-
-
 def _path_length(rule: str) -> int:
     return len(rule) - rule.find("/") if "/" in rule else 0
 
 
+def _best_by_join(rows: DataFrame, found: str, of: str, listed: DataFrame) -> DataFrame:
+    """rows and the longest of their keys that is listed, by shuffled joins on key and on (host, path); nothing is broadcast or collected."""
+    places = rows.select("host", "path", of).distinct().withColumn("key", F.explode(of))
+    hit = places.join(listed.select("key").distinct(), "key", "left_semi").groupBy("host", "path").agg(F.max_by("key", F.length("key")).alias(found))
+    return rows.join(hit, ["host", "path"], "left")
+
+
 def judge(pages: DataFrame, *, rules=RULES, listed_hosts=LISTED_HOSTS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages.
 
     The longest fitting rule decides; without one, `block` if the host or a domain above it is listed,
-    else `allow`. A null url has an empty host and is allowed. Repeated rows give a row each. Of an allow
-    and a block rule that are equal, block wins.
+    else `allow`. A null url has an empty host and is allowed. Repeated rows and null ids give a row each; columns
+    besides page_id and url are ignored. Of an allow and a block rule that are equal, block wins. listed_hosts may be a
+    table(key); a list beyond the largest filter is joined, with the same result.
     """
     spark = pages.sparkSession
     lengths = sorted({_path_length(r) for _, r in rules})
     rows = parsed(pages.select("page_id", "url")).select("page_id", "host", "path")
     rows = rows.withColumns({"keys": candidates(lengths), "hosts": candidates([0])})
-    lists = {v: ([r for k, r in rules if k == v], "keys") for v in ("allow", "block")} | {"listed": (list(listed_hosts), "hosts")}
-    best = {}
+    # every key of the corpus, gathered in one pass
+    kinds = F.explode(F.concat(F.transform("keys", lambda k: F.struct(F.lit("keys").alias("of"), k.alias("key"))), F.transform("hosts", lambda k: F.struct(F.lit("hosts").alias("of"), k.alias("key")))))
+    universe = runtime.written(rows.select(kinds.alias("x")).select("x.of", "x.key").distinct(), "universe")
+    lists = {v: ([r for k, r in rules if k == v], "keys") for v in ("allow", "block")} | {"listed": (listed_hosts, "hosts")}
     for name, (keys, of) in lists.items():
-        listed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
-        cascade = Cascade.build(listed, _universe(rows, of))
-        best[name] = F.get(F.filter(of, cascade.contains), F.lit(0))
-    found = rows.select("page_id", "host", "path", *[c.alias(n) for n, c in best.items()])
+        listed = keys if isinstance(keys, DataFrame) else spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(list(keys))), "array<string>")).alias("key"))
+        cascade = Cascade.build(listed, universe.where(F.col("of") == of).select("key"))
+        rows = _best_by_join(rows, name, of, listed) if cascade is None else rows.withColumn(name, F.get(F.filter(of, cascade.contains), F.lit(0)))
     blocks = F.col("block").isNotNull() & (F.col("allow").isNull() | (F.length("block") >= F.length("allow")))
     verdict = F.when(blocks, "block").when(F.col("allow").isNotNull(), "allow").when(F.col("listed").isNotNull(), "block").otherwise("allow")
-    return found.select("page_id", "host", "path", F.when(blocks, F.col("block")).otherwise(F.col("allow")).alias("rule"), verdict.alias("verdict"))
-
-
-def listed_by_join(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """The rows of pages(page_id, url) under a listed host, for lists beyond MAX_BITS: keys are shuffled, nothing is broadcast."""
-    rows = parsed(pages).withColumn("key", F.explode(candidates([0])))
-    hit = rows.join(listed.select("key").distinct(), "key", "left_semi").select("page_id").distinct()
-    return pages.join(hit, "page_id", "left_semi")
+    return rows.select("page_id", "host", "path", F.when(blocks, F.col("block")).otherwise(F.col("allow")).alias("rule"), verdict.alias("verdict"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
