@@ -18,10 +18,12 @@ from . import runtime, tokens
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: A digest of more than one in HOT_SHARE rows (so fewer than HOT_SHARE digests) is dealt into SALTS parts.
 HOT_SHARE, SALTS = 1000, 256
+#: Digests that a task remembers at most.
+REMEMBERED = 2_000_000
 
 
 def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map-side combine: a task forwards each digest's text once while it remembers the digest (2 M at most)."""
+    """Map-side combine: a task forwards each digest's text once while it remembers the digest."""
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
@@ -29,7 +31,7 @@ def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if d not in seen:
                 seen.add(d)
                 keep.append(i)
-        if len(seen) > 2_000_000:
+        if len(seen) > REMEMBERED:
             seen.clear()
         if keep:
             yield batch.take(pa.array(keep))
@@ -41,6 +43,8 @@ def _counter(path: str, version: str):
         for batch in runtime.slices(batches, "text"):
             digests, texts = batch.column("digest").to_pylist(), batch.column("text").to_pylist()
             fresh = {d: t for d, t in zip(digests, texts, strict=True) if d not in done}
+            if len(done) > REMEMBERED:  # a digest that comes again is counted again, and read once from the cache
+                done.clear()
             done.update(fresh)
             if fresh:
                 n = enc.count(list(fresh.values()))
