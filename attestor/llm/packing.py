@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import runtime, tokens
 
 CAPACITY = 2048
-#: Pieces of one length that one window task ranks.
-RANKED_TOGETHER = 200_000
+#: Pieces of one length that one window task ranks, at least, and how many such parts there are in all, about.
+RANKED_TOGETHER, PARTS = 1_000, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first long, past long, bin long, per_bin long, at long"
 
@@ -125,8 +125,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     # grows with the capacity alone: one row a length
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan, _ = plan_bins(histogram, capacity)
-    salts = 1 + sum(histogram.values()) // RANKED_TOGETHER
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    together = max(RANKED_TOGETHER, sum(histogram.values()) // PARTS)
+    dealt = spark.createDataFrame([(length, 1 + n // together) for length, n in histogram.items()], "of_length long, salts long")  # a row a length
+    salted = pieces.join(F.broadcast(dealt), F.col("length") == F.col("of_length")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("of_length", "salts")
     per = salted.groupBy("length", "salt").count()
     before = per.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))

@@ -191,8 +191,16 @@ def test_op2_cascade_is_exact_over_its_universe(spark, monkeypatch):
     cascade = url_filter.Cascade.build(listed, universe)
     assert len(cascade.levels) > 2
     assert universe.where(cascade.contains(F.col("key"))).selectExpr("CAST(key AS INT) AS k").agg(F.sum("k"), F.count("*")).first() == (sum(range(0, 3000, 10)), 300)
-    pages = spark.createDataFrame([(1, "http://a.b/x"), (2, "http://c/")], "page_id long, url string")
-    assert [r[0] for r in url_filter.listed_by_join(pages, spark.createDataFrame([("b",)], "key string")).collect()] == [1]
+
+
+@pytest.mark.parametrize("limit", ["MAX_BITS", "MAX_LEVELS"])
+def test_op2_long_lists_are_joined_with_the_same_result(spark, monkeypatch, limit):
+    pages = spark.createDataFrame([*[(k, u) for k, u in enumerate(URLS)], (None, URLS[0]), (None, None), (3, URLS[3])], "page_id long, url string").selectExpr("*", "'h' AS host", "'p' AS path", "'k' AS `key`", "1 AS keys", "2 AS listed")
+    want = sorted(url_filter.judge(pages).collect(), key=repr)
+    hosts = spark.createDataFrame([(h,) for h in url_filter.LISTED_HOSTS], "key string")
+    assert sorted(url_filter.judge(pages, listed_hosts=hosts).collect(), key=repr) == want
+    monkeypatch.setattr(url_filter, limit, 0)
+    assert sorted(url_filter.judge(pages).collect(), key=repr) == want and len(want) == len(URLS) + 3
 
 
 def test_op3(docs, by_id):
@@ -467,6 +475,20 @@ def test_op9(docs, library_ids):
     assert len(places) == best_fit([r["length"] for r in rows], 2048)
 
 
+def test_op9_ranks_a_hot_length_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
+    rng = random.Random(6)
+    rows = [(None if k % 9 == 0 else k % 40, 0, 0, 700 if k % 3 else rng.randint(1, 2048), 5) for k in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES)).collect()
+    held = collections.defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["length"] for r in got) == sorted(r[3] for r in rows) and len(held) == best_fit([r[3] for r in rows], 2048)
+    for places in held.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+
+
 def test_op9_plan_is_best_fit_decreasing():
     rng = random.Random(8)
     for _ in range(30):
