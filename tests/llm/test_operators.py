@@ -203,7 +203,11 @@ def test_op2_long_lists_are_joined_with_the_same_result(spark, monkeypatch, limi
     assert sorted(url_filter.judge(pages).collect(), key=repr) == want and len(want) == len(URLS) + 3
 
 
-def test_op3(docs, by_id):
+@pytest.mark.parametrize("bucket_chars", [8_000_000, 500, 4000])
+def test_op3(monkeypatch, docs, by_id, bucket_chars):
+    if bucket_chars < 8_000_000:  # many buckets, and contexts that are dealt out over them
+        monkeypatch.setattr(lm_score, "BUCKET_CHARS", bucket_chars)
+        monkeypatch.setattr(lm_score, "SAMPLED", 2)
     enc = tokens.encoder(tokens.vocabulary_path())
     begin, end = lm_score.BEGIN, lm_score.END
     ids = {d: [begin, begin, *enc.encode([t])[0].tolist(), end, end] for d, t in by_id.items()}
@@ -217,18 +221,19 @@ def test_op3(docs, by_id):
     total = sum(n for w, n in c1.items() if w != begin)
     got = collected(lm_score.score(docs))
     for d, s in ids.items():
-        want, n = 0.0, 0
+        want, n, backed = 0.0, 0, 0
         for a, b, c in zip(s, s[1:], s[2:]):
             if b == end:
                 continue
             n += 1
+            backed += c3[a, b, c] < 2
             if c3[a, b, c] >= 2:
                 want += np.log(c3[a, b, c] / c2[a, b])
             elif c2[b, c] >= 2:
                 want += np.log(0.4 * c2[b, c] / c1[b])
             else:
                 want += np.log(0.16 * c1[c] / total)
-        assert got[d]["n_scored"] == n and got[d]["log_score"] == pytest.approx(want, abs=1e-5)
+        assert (got[d]["n_scored"], got[d]["n_backed_off"]) == (n, backed) and got[d]["log_score"] == pytest.approx(want, abs=1e-5)
 
 
 def test_op4(docs, by_id):
