@@ -74,10 +74,6 @@ def corpus_hash(hashes: DataFrame, column: str = "item_hash") -> DataFrame:
     return spark.createDataFrame([(digest.hexdigest(),)], "corpus_hash string")
 
 
-def file_hash(spark, path: str) -> str:
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-
-
 def estimate_tokens(text: Column) -> Column:
     return (F.floor(F.length(text) / 4.0) + 1).cast("long")
 

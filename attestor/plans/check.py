@@ -40,8 +40,8 @@ class Sealed:
 
 
 def gold_scores(labels: DataFrame, scores: DataFrame) -> DataFrame:
-    """gs: labels joined to probabilities; what the backend could not score is left out, never taken as 0."""
-    met = labels.join(scores.select("item_id", "code_id", F.col("probability").alias("p")), ["item_id", "code_id"], "left")
+    """gs: labels joined to probabilities; what the backend could not score is left out, never taken as 0; a probability outside [0, 1] is an error."""
+    met = labels.join(scores.select("item_id", "code_id", stats.valid_probability(F.col("probability"), F.col("code_id")).alias("p")), ["item_id", "code_id"], "left")
     return met.where("p is not null").select("code_id", "item_id", "split", "p", "g", "w")
 
 

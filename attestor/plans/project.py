@@ -80,6 +80,7 @@ class Project:
         items = corpus.load_corpus(self.spark, source, text_column=text_column, id_column=id_column)
         items.write.mode("overwrite").parquet(self.path("state", "items"))
         files.delete(self.spark, self.path("state", "items.json"))
+        files.write_json(self.spark, self.path("state", "source.json"), {"version": 1, "corpus_path": source, "corpus_file_hash": files.digest(self.spark, source)})
         s = self.settings.splits
         shares = {"dev": s.dev, "calibration": s.calibration, "test": s.test}
         made = splits.assign_splits(self.items(), seed=s.seed, **shares)
@@ -145,7 +146,7 @@ class Project:
         note = {
             "run_id": run_id, "created_at": stores.now(), "purpose": purpose, "over": over, "backend": scorer.name,
             "model": scorer.model_version, "models": models, "codebook_hash": book.hash, "code_hashes": {c.code_id: c.hash for c in book.codes}, "settings": s.fingerprint(),
-            "corpus_hash": self._corpus_hash(), "corpus_path": s.corpus.path, "splits_seed": s.splits.seed, "chunking": s.fingerprint(), "item_count": items.count(),
+            "corpus_hash": self._corpus_hash(), **{k: v for k, v in files.read_json(self.spark, self.path("state", "source.json")).items() if k != "version"}, "splits_seed": s.splits.seed, "chunking": s.fingerprint(), "item_count": items.count(),
             "code_count": len(book.codes), "unit_count": stats["lookups"] // max(1, len(book.codes)), "calls": usage["texts"], "input_tokens": usage["input_tokens"],
             "output_tokens": tokens_out, "cost_usd": None if None in prices else (usage["input_tokens"] * prices[0] + tokens_out * prices[1]) / 1e6, "failures": failures.count(),
             "failed_cells": usage["failed"], "errors": {r["error"]: r["cells"] for r in done.errors.collect()}, "cache_hits": stats["hits"], "cache_misses": stats["misses"],

@@ -10,6 +10,7 @@ from .operators import coding, drift, gold, sampling, scoring, selective, splits
 from .plans import check, demo, report
 from .queries_sql import SQL
 from .sources import corpus, files, scratch, settings, stores
+from .streaming import coder
 
 ALPHA = 0.20
 
@@ -429,6 +430,15 @@ def certified_decisions(spark, sf):
     return coding.apply_bands(demo.ids(spark, sf), demo.codes(spark), bands, demo.scores(spark, sf))
 
 
+def streamed_decisions(spark, sf):
+    """Scores as a stream of files, coded as they come."""
+    where, of = scratch.root(spark), stores.new_run_id()
+    scores = scratch.written(demo.scores(spark, sf), "scores")
+    came = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 2).parquet(scores._scratch)
+    coder.drained(coder.coded_stream(came, _bands(spark)), f"{where}/coded-{of}", f"{where}/progress-{of}")
+    return spark.read.parquet(f"{where}/coded-{of}")
+
+
 def certified_risk(spark, sf):
     gs = demo.even(spark, sf)
     return _r(thresholds.realised_risk(_test(gs), check.certify(gs, alpha=ALPHA)))
@@ -503,7 +513,7 @@ QUERIES = {
         primary_coder, coded_pairs, gold_labels, double_coded, human_ceiling, human_labels, gold_summary, plan_uniform, enrichment_pool, plan_enriched, plan_overlap, decisions,
         decision_sources, decision_coverage, coded_table, abstentions, review_queue, code_drift, distinct_texts, passages, pooled_scores, run_scores, run_failures, run_cache, cache_hits, cache_misses, run_cost,
         backend_comparison, review_share, replayed, run_usage, retried_scores, saved_run, saved_splits, gold_log_read, recorded_scores, csv_items, tsv_items, jsonl_items,
-        numbered_items, labelled_items, definitions, code_batches, gold_scores, full_check, check_summary, certified_decisions, certified_risk, comparison_kappas, human_interval,
+        numbered_items, labelled_items, definitions, code_batches, gold_scores, full_check, check_summary, certified_decisions, streamed_decisions, certified_risk, comparison_kappas, human_interval,
         gold_plan, enrich_round, curve_table, logprob_probabilities, valid_probabilities,
     )
 }

@@ -271,6 +271,8 @@ SQL: dict[str, str] = {
     "check_summary": _with("SELECT gold_n, double_coded, exact, round(delta_share, 6) AS delta_share FROM (SELECT count(DISTINCT item_id) AS gold_n, count(DISTINCT item_id) FILTER (WHERE coder <> (SELECT coder FROM records GROUP BY coder ORDER BY count(*) DESC, coder DESC LIMIT 1)) AS double_coded FROM records), (SELECT bool_and(exact) AS exact, max(delta_share) AS delta_share FROM certified)", *_CERTIFIED),
     "certified_decisions": _with(f"""SELECT item_id, code_id, CASE WHEN usable THEN {_DEC} END AS label, p AS probability, CASE WHEN NOT usable THEN 'not_automatable' WHEN ({_DEC}) IS NULL THEN 'abstain_unreviewed' ELSE 'auto' END AS source
       FROM scores LEFT JOIN (SELECT code_id, t_lo, t_hi, verdict IN ('ok', 'weak') AND t_hi IS NOT NULL AS usable FROM certified) USING (code_id)""", *_CERTIFIED),
+    "streamed_decisions": _with(f"""SELECT item_id, code_id, p AS probability, {_DEC} AS label, CASE WHEN t_hi IS NULL THEN 'not_automatable' WHEN ({_DEC}) IS NULL THEN 'abstain_unreviewed' ELSE 'auto' END AS source
+      FROM scores LEFT JOIN (VALUES ('toxic', 0.40::DOUBLE, 0.60::DOUBLE)) AS v(code_id, t_lo, t_hi) USING (code_id)"""),
     "certified_risk": _with(f"SELECT code_id, round(sum(wrong) FILTER (WHERE g = 1) / count(*) FILTER (WHERE g = 1), 6) AS positive_risk, round(sum(wrong) FILTER (WHERE g = 0) / count(*) FILTER (WHERE g = 0), 6) AS negative_risk FROM (SELECT e.code_id, g, CASE WHEN ({_DEC}) <> g THEN 1.0::DOUBLE ELSE 0 END AS wrong FROM even e JOIN certified b ON e.code_id = b.code_id WHERE split = 'test' AND {_ACC}) GROUP BY code_id", *_CERTIFIED),
     "comparison_kappas": _with("SELECT 'sharp' AS backend, 1.5::DOUBLE AS cost, code_id, round(kappa, 6) AS kappa FROM certified UNION ALL SELECT 'blunt', NULL, code_id, NULL FROM certified", *_CERTIFIED),
     "human_interval": _with(

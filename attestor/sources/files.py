@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -65,3 +66,15 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 def write_json(spark: SparkSession, path: str, body: dict) -> None:
     write_text(spark, path, json.dumps(body, indent=1, sort_keys=True, default=str))
+
+
+def digest(spark: SparkSession, path: str) -> str:
+    """sha256 of a file's bytes, read as a stream; of a folder, of its files' names and digests."""
+    fs, p = _at(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return hashlib.sha256("".join(f"{n}:{digest(spark, f'{path}/{n}')};" for n in names(spark, path)).encode()).hexdigest()
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()

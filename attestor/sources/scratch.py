@@ -29,4 +29,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Written there and read back, so that what it holds is computed once and a lost executor costs no more than one step."""
     path = f"{root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made

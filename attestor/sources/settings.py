@@ -225,13 +225,27 @@ def parse_settings(text: str) -> Settings:
     made = {}
     for name, kind in kinds.items():
         body = got.get(name) or {}
+        if not isinstance(body, dict):
+            raise ValidationError(f"{name} is a section of keys")
         extra = body.keys() - {f.name for f in fields(kind)}
         if extra:
             raise ValidationError(f"{name}: unknown key {sorted(extra)[0]!r}")
+        for f in fields(kind):
+            if f.name in body and not _fits(body[f.name], f.default):
+                raise ValidationError(f"{name}: {f.name} cannot be {body[f.name]!r}")
         made[name] = kind(**body)
     return Settings(**made)
 
 
+def _fits(value: object, default: object) -> bool:
+    """Whether a value has the kind of a key's default; a key without one takes text, a number or nothing."""
+    if value is None or default is None:
+        return default is None and not isinstance(value, bool | list | dict)
+    if isinstance(value, bool) or isinstance(default, bool):
+        return isinstance(value, bool) and isinstance(default, bool)
+    return isinstance(value, int | float) if isinstance(default, float) else isinstance(value, type(default))
+
+
 def dump_settings(settings: Settings) -> str:
     return yaml.safe_dump(asdict(settings), sort_keys=False)
 
@@ -250,14 +264,14 @@ def parse_env(text: str) -> dict[str, str]:
 
 
 def load_env(path: str) -> list[str]:
-    """Sets what the environment lacks; gives the names only."""
+    """Sets what the environment lacks; gives the names only, marked where their values must not be shown."""
     if not os.path.exists(path):
         return []
     with open(path) as f:
         found = parse_env(f.read())
     for k, v in found.items():
         os.environ.setdefault(k, v)
-    return sorted(found)
+    return [f"{k} (secret)" if is_secret(k) else k for k in sorted(found)]
 
 
 def is_secret(name: str) -> bool:

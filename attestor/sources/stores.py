@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BackendError, ValidationError
+from ..operators.gold import with_seq
 from ..operators.scoring import CACHE_SCHEMA
 from . import files
 
@@ -41,6 +42,8 @@ class Log:
         if isinstance(rows, list):
             names = [x.split()[0] for x in self.schema.split(", ")]
             rows = self.spark.createDataFrame([tuple(base + k + 1 if c == "seq" else r.get(c) for c in names) for k, r in enumerate(rows)], self.schema)
+        elif "seq" not in rows.columns:
+            rows = with_seq(rows, base)
         bad = rows.where("label NOT IN (0, 1) OR item_id IS NULL OR code_id IS NULL").take(1)
         if bad:
             raise ValidationError(f"labels are 0 or 1: {bad[0]}")
