@@ -32,8 +32,8 @@ BUCKET_CHARS = 8_000_000
 _BITS = 21
 _ID = (1 << _BITS) - 1
 BEGIN, END = _ID, _ID - 1
-#: A context of more tokens than this share of a bucket is dealt out; it is looked for in one text in SAMPLED. At most so many are.
-HOT_SHARE, SAMPLED, MOST_HOT = 0.1, 256, 2_000_000
+#: A context of more tokens than this many buckets hold is dealt out; it is looked for in one text in SAMPLED. At most so many are.
+HOT_SHARE, SAMPLED, MOST_HOT = 1.0, 256, 2_000_000
 CHARS_A_TOKEN = 4
 _SUMS, _REST, _BIGRAMS, _UNIGRAMS, _HOT, _WAITING, _REST_HOT = range(7)
 PACKED = "kind int, bucket int, batch long, payload binary"
@@ -69,7 +69,7 @@ def _by_bucket(kind: int, keys: np.ndarray, pair: np.ndarray, docs: np.ndarray,
 def _packed(keys: np.ndarray, docs: np.ndarray, ids: np.ndarray, batches: np.ndarray) -> bytes:
     """Sorted keys with the documents that they stand in."""
     held, local = np.unique(docs, return_inverse=True)
-    return _pack(np.diff(keys, prepend=0), local.astype(np.uint16 if len(held) < 1 << 16 else np.uint32), ids[held], batches[held])
+    return _pack(np.diff(keys, prepend=0), local.astype(np.uint16 if len(held) < 1 << 16 else np.uint32), np.diff(ids[held], prepend=0), batches[held])
 
 
 def _among(pairs: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -86,7 +86,7 @@ def _load(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         steps, local, held, batch = _unpack(p)
         keys.append(np.cumsum(steps))
         docs.append(local.astype(np.int64) + base)
-        ids.append(held)
+        ids.append(np.cumsum(held))
         batches.append(batch)
         base += len(held)
     if not keys:
@@ -154,7 +154,7 @@ def _sums(kind: int, bucket: int, docs: np.ndarray, ids: np.ndarray, batches: np
     order = order[n[order] > 0]
     names, starts = np.unique(batches[order], return_index=True)
     for name, part in zip(names.tolist(), np.split(order, starts)[1:], strict=True):
-        yield kind, bucket, name, _pack(ids[part], total[part], n[part].astype(np.int32), (n[part] * backed).astype(np.int32))
+        yield kind, bucket, name, _pack(np.diff(ids[part], prepend=0), total[part], n[part].astype(np.int32), (n[part] * backed).astype(np.int32))
 
 
 def _trigrams(buckets: int, least: int, hot: np.ndarray):
@@ -221,7 +221,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("log_sum", pa.float64()), ("n", pa
 def _reduce(group: pa.Table) -> pa.Table:
     """The documents of one map batch, their sums over all buckets added up."""
     parts = [_unpack(p) for p in group.column("payload").to_pylist()]
-    ids, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    ids, number = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
     total = np.bincount(number, np.concatenate([p[1] for p in parts]), len(ids))
     n, backed = (np.bincount(number, np.concatenate([p[k] for p in parts]), len(ids)).astype(np.int64) for k in (2, 3))
     return pa.table([pa.array(ids, pa.int64(), mask=ids == _NULL), total, n, backed], schema=_SCORED)

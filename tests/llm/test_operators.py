@@ -208,6 +208,7 @@ def test_op3(monkeypatch, docs, by_id, bucket_chars):
     if bucket_chars < 8_000_000:  # many buckets, and contexts that are dealt out over them
         monkeypatch.setattr(lm_score, "BUCKET_CHARS", bucket_chars)
         monkeypatch.setattr(lm_score, "SAMPLED", 2)
+        monkeypatch.setattr(lm_score, "HOT_SHARE", 0.1)
     enc = tokens.encoder(tokens.vocabulary_path())
     begin, end = lm_score.BEGIN, lm_score.END
     ids = {d: [begin, begin, *enc.encode([t])[0].tolist(), end, end] for d, t in by_id.items()}
