@@ -62,7 +62,7 @@ def certify(gs: DataFrame, *, alpha: float, delta: float = 0.05, bands: DataFram
     gs is read once for all branches: gold labels and their probabilities, no texts.
     """
     gs = gs.cache()
-    fitted = thresholds.fit(gs.where(F.col("split") == CALIBRATION), alpha=alpha, delta=delta, bands=bands, codes=gs.select("code_id").distinct() if codes is None else codes)
+    fitted = thresholds.fit(gs.where(F.col("split") == CALIBRATION), alpha=alpha, delta=delta, bands=bands, codes=gs.select("code_id").distinct() if codes is None else codes).cache()  # a row a code
     test = held_out(gs.where(F.col("split") == TEST), fitted)
     graded = thresholds.grade(fitted, test.select("code_id", "kappa"))
     return graded.join(test.drop("kappa"), "code_id", "left")
@@ -87,7 +87,7 @@ def run_check(gold: DataFrame, scores: DataFrame, *, alpha: float, delta: float
     score, calibration error, human ceiling, with `resamples` the interval of kappa, and advice."""
     coder = coder or (gold_ops.primary_coder(gold).first() or [None])[0]
     gs = gold_scores(gold_ops.labels_for(gold, coder=coder), scores).cache()
-    checked = certify(gs, alpha=alpha, delta=delta, bands=bands, codes=gold.select("code_id").distinct() if codes is None else codes)
+    checked = certify(gs, alpha=alpha, delta=delta, bands=bands, codes=gold.select("code_id").distinct() if codes is None else codes).cache()
     test = gs.where(F.col("split") == TEST)
     parts = [thresholds.realised_risk(test, checked), stats.brier(test, "code_id").drop("n"), stats.calibration_error(test, "code_id"), human_ceiling(gold).drop("n")]
     if resamples:
