@@ -54,7 +54,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 def _bucket(pair: np.ndarray, buckets: int) -> np.ndarray:
     mixed = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _by_bucket(kind: int, keys: np.ndarray, pair: np.ndarray, docs: np.ndarray, ids: np.ndarray, batches: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -85,20 +85,27 @@ def _load(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     for p in payloads:
         steps, local, held, batch = _unpack(p)
         keys.append(np.cumsum(steps))
-        docs.append(local.astype(np.int64) + base)
+        docs.append(local.astype(np.int32) + np.int32(base))
         ids.append(np.cumsum(held))
         batches.append(batch)
         base += len(held)
     if not keys:
         return (np.zeros(0, np.int64),) * 4
-    return np.concatenate(keys), np.concatenate(docs), np.concatenate(ids), np.concatenate(batches)
+    return _joined(keys), _joined(docs), _joined(ids), _joined(batches)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts end to end; the list is emptied, so that both are not held for long."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
 
 
 def _counts(sorted_keys: np.ndarray) -> np.ndarray:
     """For each of the sorted keys, how often it occurs."""
     starts = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate((starts, [len(sorted_keys)])))
-    return np.repeat(sizes, sizes)
+    return np.repeat(sizes.astype(np.int32), sizes)
 
 
 _NULL = np.iinfo(np.int64).min
@@ -115,9 +122,12 @@ def _trigrams_of(enc: tokens.Encoder, texts: list[str]) -> tuple[np.ndarray, np.
     inner = np.ones(len(flat), bool)
     inner[starts] = inner[starts + 1] = inner[ends - 1] = inner[ends - 2] = False
     flat[inner] = np.concatenate(encoded) if len(encoded) else []
-    number = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.flatnonzero(number[2:] == number[:-2])
-    return flat[first] << 2 * _BITS | flat[first + 1] << _BITS | flat[first + 2], number[first], sizes
+    number = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    keep = number[2:] == number[:-2]
+    keys = flat[:-2] << 2 * _BITS
+    keys |= flat[1:-1] << _BITS
+    keys |= flat[2:]
+    return keys[keep], number[:-2][keep], sizes
 
 
 def _explode(path: str, buckets: int, hot: np.ndarray):
@@ -128,8 +138,10 @@ def _explode(path: str, buckets: int, hot: np.ndarray):
             ids = np.array([_NULL if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)
             # names the batch by its content, so that a task that runs again says the same
             name = int.from_bytes(hashlib.sha256(ids.tobytes() + sizes.tobytes()).digest()[:8], "little", signed=True)
-            context = keys >> _BITS
-            rows = list(_by_bucket(0, keys, np.where(_among(context, hot), keys, context), number, ids, np.full(len(ids), name), buckets))
+            place = keys >> _BITS
+            if len(hot):
+                place = np.where(_among(place, hot), keys, place)
+            rows = list(_by_bucket(0, keys, place, number, ids, np.full(len(ids), name), buckets))
             for at in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows[at : at + 16]], _SCHEMA)
 
@@ -159,12 +171,14 @@ def _sums(kind: int, bucket: int, docs: np.ndarray, ids: np.ndarray, batches: np
 
 def _trigrams(buckets: int, least: int, hot: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
+        tokens.release()
         bucket = group.column("bucket")[0].as_py()
         keys, docs, ids, batches = _load(group.column("payload").to_pylist())
         order = np.argsort(keys)
         keys, docs = keys[order], docs[order]
-        c3, c2 = _counts(keys), _counts(keys >> _BITS)
+        del order
         context = keys >> _BITS
+        c3, c2 = _counts(keys), _counts(context)
         new = np.concatenate(([True], context[1:] != context[:-1]))
         dealt = _among(context, hot)  # of these the bucket has a part only
         whole = new & ~dealt
@@ -176,7 +190,13 @@ def _trigrams(buckets: int, least: int, hot: np.ndarray):
         out.append((_UNIGRAMS, bucket, 0, _pack(found, np.bincount(where, c2[new]).astype(np.int64))))
         scored = context & _ID != END  # the row after the end only counts its context
         seen = scored & (c3 >= least)
-        out += _sums(_SUMS, bucket, docs[seen], ids, batches, np.log(c3[seen]) - np.where(dealt[seen], 0.0, np.log(c2[seen])), False)
+        logs = np.log(c3[seen])
+        del c3
+        c2[dealt] = 1  # known last
+        logs -= np.log(c2[seen])
+        del c2
+        out += _sums(_SUMS, bucket, docs[seen], ids, batches, logs, False)
+        del logs
         waits = seen & dealt
         if waits.any():
             out.append((_WAITING, bucket, 0, _packed(context[waits], docs[waits], ids, batches)))

@@ -196,3 +196,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Let go of the encoders of this worker, in steps that encode no more."""
+    _ENCODERS.clear()
