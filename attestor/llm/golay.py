@@ -2,7 +2,8 @@
 
 Every 23-bit word lies within 3 bits of exactly one codeword. A word's *near keys* are all codewords
 within 4 bits: one if its nearest codeword is at most 2 away, six if it is 3 away. If two words differ in
-at most one bit, the nearest codeword of either is among the near keys of the other.
+at most one bit, the nearest codeword of either is among the near keys of the other. If they differ in at most two,
+they share a near key: the errors towards the six near keys of a word divide its bits among them.
 """
 
 from __future__ import annotations
