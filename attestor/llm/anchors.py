@@ -25,6 +25,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _CACHED[base][:n]
 
 
+def release() -> None:
+    """Let go of the powers."""
+    _CACHED.clear()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))

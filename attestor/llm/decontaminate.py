@@ -114,7 +114,7 @@ def _hits(lengths: list[int], bits: np.ndarray):
     size = np.uint64(64 * len(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runtime.slices(batches, "text", 3_000_000):
+        for batch in runtime.slices(batches, "text", 1_500_000):
             codes, ends = _coded(batch.column("text").to_pylist())
             for length in lengths:
                 seeds = _seeds(codes, length)
@@ -169,15 +169,15 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, shortest: int, threshold: fl
     """The columns of `leaks` and tkey, the hash of the document's text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
-    items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInArrow(_items(shortest), "item long, item_id long, length int, codes array<long>, seeds array<long>")
+    items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInArrow(runtime.tidied(_items(shortest)), "item long, item_id long, length int, codes array<long>, seeds array<long>")
     items = runtime.written(items, "items")
     seeds = items.select("item", "length", F.posexplode("seeds").alias("held", "seed")).groupBy("seed", "item").agg(F.min("held").alias("held"))
     seeds = runtime.written(seeds, "seeds")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # `shortest` values at most
-    hits = rows.mapInArrow(_hits(lengths, _filter(seeds, seeds.count())), HITS)
+    hits = rows.mapInArrow(runtime.tidied(_hits(lengths, _filter(seeds, seeds.count()))), HITS)
     met = hits.distinct().join(seeds, "seed")
     pairs = met.groupBy("doc_id", "tkey", "item").agg(F.collect_list(F.struct("at", "held")).alias("places"))
-    return pairs.join(items.drop("seeds"), "item").mapInArrow(_tiled(threshold), LEAKS)
+    return pairs.join(items.drop("seeds"), "item").mapInArrow(runtime.tidied(_tiled(threshold)), LEAKS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST, threshold: float = THRESHOLD) -> DataFrame:

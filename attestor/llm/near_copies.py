@@ -141,7 +141,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     sides = pairs.select("a", "b", F.col("a").alias("sid")).union(pairs.select("a", "b", F.col("b").alias("sid")))
     one = sets.join(held(sides.select("sid").distinct()), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("of")).select("sid", F.col("of.doc_id").alias("d"), F.col("of.tkey").alias("t"))
     texts = docs.join(held(one), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["tkey"] == F.col("t"))).select("sid", "text")
-    grams = texts.mapInArrow(_sets(shingle), "sid long, grams array<long>")
+    grams = texts.mapInArrow(runtime.tidied(_sets(shingle)), "sid long, grams array<long>")
     of = lambda c: F.max(F.when(F.col("sid") == F.col(c), F.col("grams"))).alias(f"{c}_grams")  # noqa: E731  repeated rows have equal sets
     both = grams.join(held(sides), "sid").groupBy("a", "b").agg(of("a"), of("b"))
     shared = F.expr("CAST(size(array_intersect(a_grams, b_grams)) AS LONG)")
@@ -154,7 +154,7 @@ def _ordered(a: str, b: str) -> list:
 
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     some = docs.where(F.pmod("tkey", F.lit(COUNTED)) == 0).select(F.lit(0).cast("long").alias("sid"), "text")
-    counts = some.mapInArrow(_sets(shingle), "sid long, grams array<long>").select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * COUNTED > COMMON)
+    counts = some.mapInArrow(runtime.tidied(_sets(shingle)), "sid long, grams array<long>").select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * COUNTED > COMMON)
     return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").collect()], np.int64))
 
 
@@ -163,7 +163,7 @@ def golay_pairs(sets: DataFrame) -> DataFrame:
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few bytes become many rows, so tasks are not to be merged by size
     single = sets.select("sid", "fuzzy").repartition(tasks, "sid").dropDuplicates(["sid"])
-    keyed = single.mapInArrow(_golay_keys, "sid long, fkey long")
+    keyed = single.mapInArrow(runtime.tidied(_golay_keys), "sid long, fkey long")
     block = Window.partitionBy("fkey")
     met = keyed.select("sid", F.min("sid").over(block).alias("low"), F.max("sid").over(block).alias("high")).where("low < high")
     ends = met.select("sid", F.explode(F.array("low", "high")).alias("end")).where("sid <> end")
@@ -211,7 +211,7 @@ def near_copies(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCE
     if not 0 < percent <= 100:
         raise ValueError("the similarity is a percentage above 0")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
-    made = rows.mapInArrow(_prefixes(shingle, percent, _common(rows, shingle)), "doc_id long, tkey long, sid long, n int, keys array<long>, fuzzy array<long>")
+    made = rows.mapInArrow(runtime.tidied(_prefixes(shingle, percent, _common(rows, shingle))), "doc_id long, tkey long, sid long, n int, keys array<long>, fuzzy array<long>")
     made = runtime.written(made, "prefixes")
     found = _components(rows, made, shingle, percent)
     named = runtime.written(made.select("doc_id", "tkey", "sid").join(found, "sid", "left").select("doc_id", "tkey", F.coalesce("root", "sid").alias("root")), "named")

@@ -23,7 +23,7 @@ CAPACITY = 2048
 #: Pieces of one length that one window task ranks, at least, and how many such parts there are in all, about.
 RANKED_TOGETHER, PARTS = 1_000, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLAN = "length long, first long, past long, bin long, per_bin long, at long"
+PLAN = ("length", "first", "past", "bin", "per_bin", "at")
 
 
 class CapacityTree:
@@ -113,7 +113,12 @@ def _cut(path: str, end_id: int, capacity: int):
 def cut_pieces(docs: DataFrame, *, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most `capacity` ids; a longer document's first piece takes the remainder. Null text: the end id alone."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_cut(path or tokens.vocabulary_path(), end_id, capacity), PIECES)
+    return rows.mapInArrow(runtime.tidied(_cut(path or tokens.vocabulary_path(), end_id, capacity), encodes=True), PIECES)
+
+
+def _numbers(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """Rows of whole numbers as a table. From an Arrow table the JVM makes it by itself; lists would start further Python workers on every executor."""
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(names)}))
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
@@ -126,13 +131,13 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan, _ = plan_bins(histogram, capacity)
     together = max(RANKED_TOGETHER, sum(histogram.values()) // PARTS)
-    dealt = spark.createDataFrame([(length, 1 + n // together) for length, n in histogram.items()], "of_length long, salts long")  # a row a length
+    dealt = _numbers(spark, [(length, 1 + n // together) for length, n in histogram.items()], ("of_length", "salts"))  # a row a length
     salted = pieces.join(F.broadcast(dealt), F.col("length") == F.col("of_length")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("of_length", "salts")
     per = salted.groupBy("length", "salt").count()
     before = per.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rn") - 1 + F.col("before"))
-    steps = spark.createDataFrame(plan, PLAN).withColumnRenamed("length", "of")
+    steps = _numbers(spark, plan, PLAN).withColumnRenamed("length", "of")
     steps = F.broadcast(steps) if len(plan) <= 200_000 else steps  # 6 numbers a row: 10 MB at most
     k = F.col("rank") - F.col("first")
     placed = ranked.join(steps, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")))

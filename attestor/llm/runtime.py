@@ -1,15 +1,17 @@
-"""Shared plumbing of the corpus operators: scratch tables, batch slicing, table access."""
+"""Shared plumbing of the corpus operators: scratch tables, batch slicing, table access, memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import scratch
+from . import anchors, tokens
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -67,3 +69,28 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 6_000_000)
             held += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Return this process's free memory to the system; Arrow and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable, *, encodes: bool = False) -> Callable:
+    """`run` for mapInArrow, with little left in the worker afterwards.
+
+    Spark keeps idle workers, and what they hold is missing in the steps that follow. Encoders are costly to
+    make, so they stay between tasks that encode.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            tokens.release()
+        yield from run(batches)
+        anchors.release()
+        give_back()
+
+    return whole
