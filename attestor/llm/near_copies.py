@@ -135,7 +135,7 @@ def _open(n: str, at: str, m: str, past: str, percent: int):
     return ((100 + percent) * (F.col(n) - F.col(at)) >= least) & ((100 + percent) * (F.col(m) - F.col(past)) >= least)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs(a, b) of sets(sid, doc_id, tkey) whose texts in docs(doc_id, tkey, text) are similar enough."""
     held = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
     sides = pairs.select("a", "b", F.col("a").alias("sid")).union(pairs.select("a", "b", F.col("b").alias("sid")))
@@ -148,6 +148,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     return both.where(shared * (100 + percent) >= (F.size("a_grams") + F.size("b_grams")) * percent).select("a", "b")
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among the pairs(a, b) that `_compared` has, enough to leave no two of its components apart.
+
+    A set is compared with the first it is paired with, then only with those that this has left in other
+    components, so a large group of near copies needs about one comparison a set.
+    """
+    first = runtime.written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    near = runtime.written(_compared(first, docs, sets, shingle, percent), "links")
+    found = components.roots(near)
+    rest = runtime.written(_apart(pairs.join(first, ["a", "b"], "left_anti"), found), "pairs")
+    more = runtime.written(_compared(rest, docs, sets, shingle, percent), "links")
+    runtime.dropped(first, found, rest)
+    return near.union(more)
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs(a, b) that lie in different components of found(node, root)."""
+    root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -184,8 +205,7 @@ def _components(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
 
     star = [shared.where((F.col("sid") != F.col(f"{e}.sid")) & _open("n", "at", f"{e}.n", f"{e}.at", percent)).select(*_ordered("sid", f"{e}.sid")) for e in ("first", "last")]
     star = star[0].union(star[1]).distinct().join(fuzz, ["a", "b"], "left_anti")
-    root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    star = star.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+    star = _apart(star, found)
     star = runtime.written(star, "pairs")
     links = runtime.written(near.union(_verified(star, docs, sets, shingle, percent)), "links")
     runtime.dropped(near, found)

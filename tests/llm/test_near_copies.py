@@ -66,3 +66,14 @@ def test_repeated_and_null_ids(spark):
     rows = [(1, one), (1, one), (1, two), (2, two), (None, one), (3, f"{one} tail"), (3, "other words of the same id")]
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, one), (1, one), (1, two), (3, "other words of the same id")])
+
+
+def test_a_large_group_needs_about_one_comparison_a_set(spark, monkeypatch):
+    rng, compared = random.Random(3), []
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    made = [[*base[:k], f"x{i}", *base[k + 1 :]] for i, k in enumerate(rng.choices(range(150), k=120))]
+    inner = near_copies._compared
+    monkeypatch.setattr(near_copies, "_compared", lambda pairs, *rest: (compared.append(pairs.count()), inner(pairs, *rest))[1])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    assert near_copies.near_copies(docs).select("root").distinct().count() == 1
+    assert sum(compared) < 2 * len(made)
