@@ -137,7 +137,10 @@ def _open(n: str, at: str, m: str, past: str, percent: int):
 
 def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs(a, b) of sets(sid, doc_id, tkey) whose texts in docs(doc_id, tkey, text) are similar enough."""
-    held = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b")
+    held = F.broadcast if n <= BROADCAST_PAIRS else lambda x: x
     sides = pairs.select("a", "b", F.col("a").alias("sid")).union(pairs.select("a", "b", F.col("b").alias("sid")))
     one = sets.join(held(sides.select("sid").distinct()), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("of")).select("sid", F.col("of.doc_id").alias("d"), F.col("of.tkey").alias("t"))
     texts = docs.join(held(one), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["tkey"] == F.col("t"))).select("sid", "text")
