@@ -45,7 +45,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runtime.slices(batches, "text"):
             made = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
@@ -77,7 +77,7 @@ def links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     """a < b for every two of the distinct fingerprints(fp) at `distance` (3 at most) or fewer bits, each link once."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments within one bit are certain up to distance 3 only")
-    keyed = fingerprints.mapInArrow(_keys, "fp long, probes array<int>, near array<int>")
+    keyed = fingerprints.mapInArrow(runtime.tidied(_keys), "fp long, probes array<int>, near array<int>")
     probes = keyed.select(F.col("fp").alias("a"), F.explode("probes").alias("key"))
     index = keyed.select(F.col("fp").alias("b"), F.explode("near").alias("key"))
     far = F.col("a").bitwiseXOR(F.col("b"))
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3) ->
     null doc_id keeps its row but never names a component with other ids. No rows give none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = runtime.written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+    made = runtime.written(rows.mapInArrow(runtime.tidied(_fingerprints(shingle)), "doc_id long, fp long"), "fingerprints")
     distinct = runtime.written(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = components.roots(links(distinct.select("fp"), distance))
     grouped = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
