@@ -18,8 +18,8 @@ import numpy as np
 
 #: Units that one Python worker remembers (about 250 bytes each); beyond it only those used again stay.
 MEMO_UNITS = 500_000
-#: Unknown units that are encoded as one text.
-JOINED = 2000
+#: Unknown units that are encoded as one text; the library takes longer over a unit of longer texts.
+JOINED = 200
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
