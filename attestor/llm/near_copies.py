@@ -6,7 +6,9 @@ Two texts are near copies if their sets of `shingle`-word shingles have a Jaccar
 * A set's SimHash fingerprint has four segments of 23 bits. For every pair of segments the near keys of both (see
   `golay`) are crossed; two segments that differ in two bits or fewer share one, of those that differ in more many
   do. A key is narrowed by a min-hash, one for each pair of segments, as 24 bits alone would meet by chance. The sets
-  under a key are compared with two of them by their texts.
+  under a key are paired with two of them; of its pairs a set is compared by its texts in two at most, the second
+  with a set of another component than the first has left it in. Such keys also meet far below the similarity, so
+  in a large loose group most further comparisons would find nothing.
 * A fingerprint can only make it likely that near copies meet. In any fixed order of shingles, two similar sets
   share one among the first n - ceil(percent * n) + 1 of each, so a join on these few keys loses no pair (up to
   64-bit hashes). Shingles of many texts stand last in the order; which ones these are decides only how many
@@ -151,19 +153,26 @@ def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
     return both.where(shared * (100 + percent) >= (F.size("a_grams") + F.size("b_grams")) * percent).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links among the pairs(a, b) that `_compared` has, enough to leave no two of its components apart.
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Links among the pairs(a, b) that `_compared` has, and the pairs that need not be asked for again.
 
     A set is compared with the first it is paired with, then only with those that this has left in other
-    components, so a large group of near copies needs about one comparison a set.
+    components, so a large group of near copies needs about one comparison a set. The links leave no two of the
+    components of all pairs apart, unless `whole` is false: then a set is compared with one of those others only,
+    and just the pairs compared are done with.
     """
-    first = runtime.written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    one = lambda e: e.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = runtime.written(one(pairs), "pairs")
     near = runtime.written(_compared(first, docs, sets, shingle, percent), "links")
     found = components.roots(near)
-    rest = runtime.written(_apart(pairs.join(first, ["a", "b"], "left_anti"), found), "pairs")
+    rest = _apart(pairs.join(first, ["a", "b"], "left_anti"), found)
+    rest = runtime.written(rest if whole else one(rest), "pairs")
     more = runtime.written(_compared(rest, docs, sets, shingle, percent), "links")
-    runtime.dropped(first, found, rest)
-    return near.union(more)
+    runtime.dropped(found)
+    if not whole:
+        return near.union(more), first.union(rest)
+    runtime.dropped(first, rest)
+    return near.union(more), pairs
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -202,16 +211,17 @@ def _components(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
     ends = {"first": F.min(F.struct("at", "sid", "n")), "last": F.min(F.struct("sid", "n", "at")), "m": F.count("*")}
     shared = runtime.written(keyed.select("*", *[e.over(block).alias(c) for c, e in ends.items()]).where("m > 1").drop("m"), "shared")
 
-    fuzz = runtime.written(golay_pairs(sets), "pairs")
-    near = runtime.written(_verified(fuzz, docs, sets, shingle, percent), "links")
+    met = runtime.written(golay_pairs(sets), "pairs")
+    near, fuzz = _verified(met, docs, sets, shingle, percent, False)
+    near, fuzz = runtime.written(near, "links"), runtime.written(fuzz, "pairs")
     found = components.roots(near)
 
     star = [shared.where((F.col("sid") != F.col(f"{e}.sid")) & _open("n", "at", f"{e}.n", f"{e}.at", percent)).select(*_ordered("sid", f"{e}.sid")) for e in ("first", "last")]
     star = star[0].union(star[1]).distinct().join(fuzz, ["a", "b"], "left_anti")
     star = _apart(star, found)
     star = runtime.written(star, "pairs")
-    links = runtime.written(near.union(_verified(star, docs, sets, shingle, percent)), "links")
-    runtime.dropped(near, found)
+    links = runtime.written(near.union(_verified(star, docs, sets, shingle, percent)[0]), "links")
+    runtime.dropped(met, near, found)
     found = components.roots(links)
 
     marked = shared.join(found, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "at", F.coalesce("root", "sid").alias("root"))
@@ -223,7 +233,7 @@ def _components(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
     apart = (F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & _open("n_a", "at_a", "n_b", "at_b", percent)
     rest = left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & apart).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
     rest = runtime.written(rest.join(star.union(fuzz), ["a", "b"], "left_anti"), "pairs")
-    more = runtime.written(_verified(rest, docs, sets, shingle, percent), "links")
+    more = runtime.written(_verified(rest, docs, sets, shingle, percent)[0], "links")
     roots = components.roots(links.union(more))
     runtime.dropped(fuzz, star, marked, rest, links, more)
     return roots.withColumnRenamed("node", "sid")
