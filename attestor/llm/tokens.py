@@ -20,6 +20,8 @@ import numpy as np
 MEMO_UNITS = 500_000
 #: Unknown units that are encoded as one text; the library takes longer over a unit of longer texts.
 JOINED = 200
+#: White space besides the two separators, and separators that stand together.
+_IRREGULAR = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "  ", " \n", "\n ", "\n\n")
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -124,9 +126,11 @@ class Encoder:
         """The same for parts that each open with a separator, fewer texts for the library."""
         if any(a.split() != [a] for a in self.added):  # joined parts could make up such a token
             return self._one_by_one(parts)
-        _, flat = self._one_by_one(["".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)])
+        joined = ["".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)]
+        _, flat = self._one_by_one(joined)
         upto = np.cumsum(self.token_bytes[flat])
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        every = np.frombuffer("".join(joined).encode(), np.uint8)
+        ends = np.append(np.flatnonzero((every == 32) | (every == 10))[1:], len(every))[: len(parts)]  # each begins at the only separator it has
         last = np.searchsorted(upto, ends)
         if len(parts) and (last[-1] != len(flat) - 1 or (upto[last] != ends).any()):  # an id of unknown width
             return self._one_by_one(parts)
@@ -145,7 +149,7 @@ class Encoder:
         self._add(places, sizes, flat)
 
     def _regular(self, text: str) -> list[str] | None:
-        if not self.by_unit or not text or " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
+        if not self.by_unit or not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _IRREGULAR)) or any(a in text for a in self.added):
             return None
         units = text.replace("\n", " \n").split(" ")
         units[0] = f"\r{units[0]}"
@@ -155,19 +159,20 @@ class Encoder:
         """Unit indexes of the regular texts, end of each text's units, ids of the other texts."""
         if self.n_units > MEMO_UNITS:
             self._forget()
-        flat: list[int] = []
+        flat = [np.zeros(0, np.int64)]
         ends, odd = np.zeros(len(texts), np.int64), []
-        look = self.units.__getitem__
+        look, n = self.units.__getitem__, 0
         for i, text in enumerate(texts):
             units = self._regular(text)
             if units is not None:
-                flat.extend(map(look, units))
+                flat.append(np.fromiter(map(look, units), np.int64, len(units)))
+                n += len(units)
             elif text:
                 odd.append(i)
-            ends[i] = len(flat)
+            ends[i] = n
         self._learn()
         whole = dict(zip(odd, (np.array(x, np.uint32) for x in self._library([texts[i] for i in odd])), strict=True)) if odd else {}
-        numbers = np.array(flat, np.int64)
+        numbers = np.concatenate(flat)
         if len(numbers):
             met = np.bincount(numbers)
             self.uses[: len(met)] += met
