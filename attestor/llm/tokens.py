@@ -2,26 +2,34 @@
 
 Byte-level BPE never merges across a single space or newline that stands between two visible
 characters: such a separator always opens the next piece. A regular text (words divided by one space
-or newline each) is therefore cut there, every distinct unit is encoded once by the library, and the
-ids of a text are gathered from the memo. Unknown units go to the library many at a time, each with its
-separator; the bytes that every id stands for tell whose ids they are. Any other text, and one that
-holds an added token's string, goes to the library whole. Both ways give the library's own ids.
+or newline each) is therefore cut there, and before punctuation that ends a word; every distinct unit is
+encoded once by the library, and the ids of a text are gathered from the memo. Unknown units go to the
+library many at a time, each with its separator; the bytes that every id stands for tell whose ids they
+are. Any other text, and one that holds an added token's string, goes to the library whole. Both ways
+give the library's own ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
-#: Units that one Python worker remembers (about 250 bytes each); beyond it only those used again stay.
+#: Units that one Python worker remembers (about 50 bytes each, as Arrow arrays); beyond it only those used again stay.
 MEMO_UNITS = 500_000
 #: Unknown units that are encoded as one text; the library takes longer over a unit of longer texts.
 JOINED = 200
 #: White space besides the two separators, and separators that stand together.
 _IRREGULAR = (*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "  ", " \n", "\n ", "\n\n")
+#: Punctuation that is cut from a word's end has so many bytes at most.
+_TAIL = 16
+#: Kinds of last bytes: ASCII punctuation, ASCII letters and digits, letters from U+00C0 to U+00FF after 0xC3.
+_PUNCTUATION, _ALNUM, _LATIN = 1, 2, 3
+_KINDS = np.array([_ALNUM if chr(b).isalnum() and b < 128 else _PUNCTUATION if 32 < b < 127 else _LATIN if 128 <= b < 192 and b not in (0x97, 0xB7) else 0 for b in range(256)], np.uint8)
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -37,16 +45,6 @@ def vocabulary_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()[:32]
 
 
-class _Units(dict):
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = index = len(self)
-        self.fresh.append(unit)
-        return index
-
-
 class Encoder:
     """Ids of whole texts; `add_special_tokens` is off and special strings follow the library's default."""
 
@@ -76,42 +74,17 @@ class Encoder:
         return sizes
 
     def _reset(self) -> None:
-        self.units = _Units()
-        self.starts = np.zeros(1024, np.int64)
-        self.sizes = np.zeros(1024, np.int64)
-        self.uses = np.zeros(1024, np.int64)
-        self.pool = np.zeros(4096, np.uint32)
-        self.n_units = self.n_pool = 0
+        self.units = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_list(pa.uint32()))
+        self.uses = np.zeros(0, np.int64)
 
     def _forget(self) -> None:
         """Drop the units that were used once; all, if the others leave no room."""
-        kept = np.flatnonzero(self.uses[: self.n_units] > 1)
-        names, sizes, ids = list(self.units), self.sizes[kept], self._gathered(kept)
+        kept = pa.array(np.flatnonzero(self.uses > 1))
+        units, ids = self.units.take(kept), self.ids.take(kept)
         self._reset()
         if len(kept) <= MEMO_UNITS // 2:
-            self.units.update(zip([names[i] for i in kept.tolist()], range(len(kept)), strict=True))
-            self._add(np.arange(len(kept)), sizes, ids)
-            self.uses[: len(kept)] = 1
-
-    def _gathered(self, units: np.ndarray) -> np.ndarray:
-        """Ids of the units, one after another."""
-        sizes = self.sizes[units]
-        total = np.cumsum(sizes)
-        return self.pool[np.repeat(self.starts[units] - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
-
-    def _add(self, places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
-        """Store the ids of units that have got the numbers `places`."""
-        past = self.n_units + len(places)
-        while len(self.sizes) < past:
-            self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
-        if len(self.uses) < len(self.sizes):
-            self.uses = np.concatenate((self.uses, np.zeros(len(self.sizes) - len(self.uses), np.int64)))
-        while len(self.pool) < self.n_pool + len(flat):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.sizes[places] = sizes
-        self.starts[places] = self.n_pool + np.cumsum(sizes) - sizes
-        self.pool[self.n_pool : self.n_pool + len(flat)] = flat
-        self.n_units, self.n_pool = past, self.n_pool + len(flat)
+            self.units, self.ids, self.uses = units, ids, np.ones(len(kept), np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,77 +95,143 @@ class Encoder:
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
 
-    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for parts that each open with a separator, fewer texts for the library."""
-        if any(a.split() != [a] for a in self.added):  # joined parts could make up such a token
-            return self._one_by_one(parts)
-        joined = ["".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)]
-        _, flat = self._one_by_one(joined)
-        upto = np.cumsum(self.token_bytes[flat])
-        every = np.frombuffer("".join(joined).encode(), np.uint8)
-        ends = np.append(np.flatnonzero((every == 32) | (every == 10))[1:], len(every))[: len(parts)]  # each begins at the only separator it has
+        if not len(parts) or any(a.split() != [a] for a in self.added):  # joined parts could make up such a token
+            return self._one_by_one(parts.to_pylist())
+        places, data = _bytes_of(parts)
+        _, flat = self._one_by_one([str(data[a:b], "utf-8") for a, b in pairwise([*places[:-1:JOINED].tolist(), len(data)])])
+        upto, ends = np.cumsum(self.token_bytes[flat]), places[1:]
         last = np.searchsorted(upto, ends)
-        if len(parts) and (last[-1] != len(flat) - 1 or (upto[last] != ends).any()):  # an id of unknown width
-            return self._one_by_one(parts)
+        if last[-1] != len(flat) - 1 or (upto[last] != ends).any():  # an id of unknown width
+            return self._one_by_one(parts.to_pylist())
         return np.diff(last, prepend=-1), flat
 
-    def _learn(self) -> None:
-        fresh, self.units.fresh = self.units.fresh, []
-        if not fresh:
-            return
-        # \r marks a text's first word, which has no separator before it
-        opening = np.fromiter((u[0] == "\r" for u in fresh), bool, len(fresh))
-        inner_sizes, inner = self._joined([u if u[0] == "\n" else f" {u}" for u in fresh if u[0] != "\r"])
-        first_sizes, firsts = self._one_by_one([u[1:] for u in fresh if u[0] == "\r"])
-        sizes, flat = np.concatenate((inner_sizes, first_sizes)), np.concatenate((inner, firsts))
-        places = self.n_units + np.concatenate((np.flatnonzero(~opening), np.flatnonzero(opening)))
-        self._add(places, sizes, flat)
-
-    def _regular(self, text: str) -> list[str] | None:
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Add units to the memo; the numbers that they get."""
+        places, data = _bytes_of(fresh)
+        heads = data[places[:-1]]
+        # \r marks a text's first word and cut punctuation, which have no separator before them
+        inner, opening = np.flatnonzero(heads != 13), np.flatnonzero(heads == 13)
+        order = np.concatenate((inner, opening))
+        separators = pa.array(np.where(heads[inner] == 10, "", " ").tolist(), pa.large_string())
+        inner_sizes, inner_ids = self._joined(pa.compute.binary_join_element_wise(separators, fresh.take(pa.array(inner)), pa.scalar("", pa.large_string())))
+        first_sizes, first_ids = self._one_by_one([u[1:] for u in fresh.take(pa.array(opening)).to_pylist()])
+        ends = np.cumsum(np.concatenate(([0], inner_sizes, first_sizes)))
+        ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate((inner_ids, first_ids))))
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.arange(len(self.units), len(self.units) + len(order))
+        self.units, self.ids = pa.concat_arrays([self.units, fresh.take(pa.array(order))]), pa.concat_arrays([self.ids, ids])
+        return numbers
+
+    def _regular(self, text: str) -> str | None:
+        """The text with one space between its units, and the mark of the first."""
         if not self.by_unit or not text or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _IRREGULAR)) or any(a in text for a in self.added):
             return None
-        units = text.replace("\n", " \n").split(" ")
-        units[0] = f"\r{units[0]}"
-        return units
-
-    def _plan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-        """Unit indexes of the regular texts, end of each text's units, ids of the other texts."""
-        if self.n_units > MEMO_UNITS:
+        return "\r" + text.replace("\n", " \n")
+
+    def _numbers(self, names: pa.Array) -> np.ndarray:
+        """Numbers of different units, after the memo has learned the unknown ones."""
+        # the memo is looked up among the names, whose table is smaller, not the other way round
+        met = pa.compute.fill_null(pa.compute.index_in(self.units, value_set=names), -1).to_numpy()
+        known = np.flatnonzero(met >= 0)
+        numbers = np.full(len(names), -1, np.int64)
+        numbers[met[known]] = known
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            numbers[fresh] = self._learn(names.take(pa.array(fresh)))
+        return numbers
+
+    def _ids_of(self, words: pa.Array, times: np.ndarray) -> pa.Array:
+        """Lists of ids of different words, which stand so many times in the texts."""
+        cores, tails, cut = _without_tails(words)
+        ends = tails.dictionary_encode()
+        marked = pa.compute.binary_join_element_wise(pa.scalar("\r", pa.large_string()), ends.dictionary, pa.scalar("", pa.large_string()))
+        coded = pa.concat_arrays([cores, marked]).dictionary_encode()
+        numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        at = np.arange(len(words) + 1) + np.concatenate(([0], np.cumsum(cut)))
+        parts = np.empty(at[-1], np.int64)
+        parts[at[:-1]] = numbers[: len(words)]
+        parts[at[:-1][cut] + 1] = numbers[len(words) :][ends.indices.to_numpy()]
+        uses = np.bincount(parts, np.repeat(times, np.diff(at)), len(self.units)).astype(np.int64)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        got = self.ids.take(pa.array(parts))
+        return pa.LargeListArray.from_arrays(got.offsets.take(pa.array(at)), got.values)
+
+    def _plan(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Ids of the different words of the regular texts, which of these each word is, end of each text's words, ids of the other texts."""
+        if len(self.units) > MEMO_UNITS:
             self._forget()
-        flat = [np.zeros(0, np.int64)]
-        ends, odd = np.zeros(len(texts), np.int64), []
-        look, n = self.units.__getitem__, 0
+        made, odd, held = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            units = self._regular(text)
-            if units is not None:
-                flat.append(np.fromiter(map(look, units), np.int64, len(units)))
-                n += len(units)
+            spaced = self._regular(text)
+            if spaced is not None:
+                made.append(spaced)
+                held[i] = 1
             elif text:
                 odd.append(i)
-            ends[i] = n
-        self._learn()
+        ids, which = self.ids[:0], np.zeros(0, np.int32)
+        if made:
+            split = pa.compute.split_pattern(pa.array(made, pa.large_string()), " ")
+            coded = split.values.dictionary_encode()
+            which, held[held > 0] = coded.indices.to_numpy(), np.diff(split.offsets.to_numpy())
+            ids = self._ids_of(coded.dictionary, np.bincount(which))
         whole = dict(zip(odd, (np.array(x, np.uint32) for x in self._library([texts[i] for i in odd])), strict=True)) if odd else {}
-        numbers = np.concatenate(flat)
-        if len(numbers):
-            met = np.bincount(numbers)
-            self.uses[: len(met)] += met
-        return numbers, ends, whole
+        return ids, which, np.cumsum(held), whole
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        flat, ends, whole = self._plan(texts)
-        ids = self._gathered(flat)
-        cut = np.concatenate(([0], np.cumsum(self.sizes[flat])))[ends]
-        return [whole[i] if i in whole else ids[cut[i - 1] if i else 0 : cut[i]] for i in range(len(texts))]
+        ids, which, ends, whole = self._plan(texts)
+        got = ids.take(pa.array(which))
+        flat, cut = got.values.to_numpy(), got.offsets.to_numpy()[ends].tolist()
+        return [whole[i] if i in whole else flat[cut[i - 1] if i else 0 : cut[i]] for i in range(len(texts))]
 
     def count(self, texts: list[str]) -> np.ndarray:
-        flat, ends, whole = self._plan(texts)
-        cut = np.concatenate(([0], np.cumsum(self.sizes[flat])))[ends]
-        n = np.diff(cut, prepend=0)
-        for i, ids in whole.items():
-            n[i] = len(ids)
+        ids, which, ends, whole = self._plan(texts)
+        sizes = np.diff(ids.offsets.to_numpy())
+        n = np.diff(np.concatenate(([0], np.cumsum(sizes[which])))[ends], prepend=0)
+        for i, odd in whole.items():
+            n[i] = len(odd)
         return n
 
 
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the large strings (one at least) begins, with the end of the last, and the bytes of all."""
+    _, places, data = strings.buffers()
+    places = np.frombuffer(places, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return places - places[0], np.frombuffer(data, np.uint8)[places[0] : places[-1]]
+
+
+def _strings(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes)))), pa.py_buffer(data))
+
+
+def _without_tails(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Words less ASCII punctuation after a last letter or digit, that punctuation, and of which words it was cut.
+
+    Byte-level BPE opens a piece there. Only letters up to U+00FF count, and `_TAIL` bytes of punctuation at most.
+    """
+    places, data = _bytes_of(words)
+    starts, ends = places[:-1], places[1:]
+    first = ends.copy()
+    rows = np.flatnonzero(_KINDS[data[ends - 1]] == _PUNCTUATION)
+    at = ends[rows] - 1
+    for _ in range(_TAIL):
+        inside = at > starts[rows]
+        rows, at = rows[inside], at[inside]
+        before = _KINDS[data[at - 1]]
+        found = (before == _ALNUM) | (before == _LATIN) & (data[at - 2] == 0xC3)
+        first[rows[found]] = at[found]
+        more = before == _PUNCTUATION
+        rows, at = rows[more], at[more] - 1
+    cut = first < ends
+    turns = np.zeros(len(data) + 1, np.int8)
+    turns[first[cut]] = 1
+    turns[ends[cut]] -= 1
+    tail = np.cumsum(turns[:-1], dtype=np.int8).view(bool)
+    return _strings(first - starts, data[~tail]), _strings((ends - first)[cut], data[tail]), cut
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
